@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
-from .common import importable
+from . import mixing, packing, quality, simhash, warc
+from .common import importable, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,16 +13,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_files() -> dict[str, str]:
+    """Where the public byte-level vocabulary lies, in its two forms, and the pattern that cuts texts for it."""
+    import public_tokenizers
+
+    return {"tokenizer_file": public_tokenizers.path("byte_bpe_50k.json"), "ranks_file": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, **tokenizer_files()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = materialize(simhash.fingerprints(docs), "fingerprints")
+    return simhash.near_duplicates(prints).select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score_quality(docs, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "whole_ratio", "chunk_ratio_min", "chunk_ratio_max")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, manifest.warc_folder, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(concat('mix-1|', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k,
@@ -49,10 +72,28 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex,
+             CAST(unhex(sha1(payload)) AS BIT)::VARCHAR AS bits FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS response_id, count(*) OVER (PARTITION BY hex, payload_bytes) AS n FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * substr(bits, 5 * i::INT + 1, 1)::INT + 8 * substr(bits, 5 * i::INT + 2, 1)::INT + 4 * substr(bits, 5 * i::INT + 3, 1)::INT
+           + 2 * substr(bits, 5 * i::INT + 4, 1)::INT + substr(bits, 5 * i::INT + 5, 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN n = 1 OR page_id IS NOT DISTINCT FROM response_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n = 1 OR page_id IS NOT DISTINCT FROM response_id THEN NULL ELSE response_id END AS refers_to
+FROM m
+"""
+
 QUERIES = {
+    "op1_pack_sequences": op1_pack_sequences,
     "op3_mix_sources": op3_mix_sources,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op9_warc": op9_warc,
 }
 ORACLES = {
     "op3_mix_sources": OP3_SQL,
+    "op9_warc": OP9_SQL,
 }
