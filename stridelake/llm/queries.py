@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, simhash, warc
-from .common import importable, materialize
+from . import embeddings, langid, mixing, packing, quality, simhash, tokencount, toxicity, warc
+from .common import held_out, importable, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model, carry=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = materialize(simhash.fingerprints(docs), "fingerprints")
@@ -41,11 +47,29 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "whole_ratio", "chunk_ratio_min", "chunk_ratio_max")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = tokencount.unigram_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.count_tokens(docs, vocabulary, carry=["doc_id"])
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, manifest.warc_folder, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train_languages(docs)
+    return langid.identify_languages(docs, model, carry=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(concat('mix-1|', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k,
@@ -89,9 +113,13 @@ FROM m
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op3_mix_sources": op3_mix_sources,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {
     "op3_mix_sources": OP3_SQL,
