@@ -69,3 +69,15 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
     """UTF-8 of each value, b"" for null, without decoding."""
     for x in column.cast(pa.binary()):
         yield x.as_py() or b""
+
+
+def arrow_input(docs: DataFrame, carry: list[str], text_col: str) -> tuple[DataFrame, int, str]:
+    """docs with the columns carry first and the text somewhere, where the text is, and the DDL of carry.
+
+    A text that is carried anyway is sent to Python once.
+    """
+    if text_col in carry:
+        docs, at = docs.select(*(docs[c] for c in carry)), carry.index(text_col)
+    else:
+        docs, at = docs.select(*(docs[c] for c in carry), docs[text_col].alias("__text")), len(carry)
+    return docs, at, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(carry)])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, importable
+from .common import arrow_input, held_out, importable
 
 # Families of languages by ISO 639-1 code. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -160,14 +160,13 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, text_col: s
     """
     importable(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
-    docs = docs.select(*carry, docs[text_col].alias("__text"))
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[:-1]) + "lang_pred string, score double"
+    docs, at, ddl = arrow_input(docs, carry, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits weights for each pair of classes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            made = [fitted.predict(t.as_py()) if fitted else (UNDETERMINED, 0.0) for t in batch.column(len(carry))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=[*carry, "lang_pred", "score"])
+            made = [fitted.predict(t.as_py()) if fitted else (UNDETERMINED, 0.0) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=[*carry, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, f"{ddl}, lang_pred string, score double")

@@ -91,3 +91,25 @@ def mix_sources(
     rest = F.col("budget") - whole * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("start"), F.lit(0)), F.col("size"))
     return placed.select("doc_id", "source", "mix_key", "size", "source_size", "target", "budget", "start", (whole * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_sources: int = 100_000, seed: str = "mix-1", **kw) -> DataFrame:
+    """docs as the mix takes them: a row for every pass over a document, with docs' columns, and none for the others.
+
+    Texts stay whole: the one document of a source at which its budget ends is taken in the last pass if at least
+    half of it lies before the end, so a source comes within half a document of its budget. Where the passes end is
+    one row per source, which is sent to all tasks if there are at most most_sources; texts are not shuffled.
+    """
+    placed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **kw)
+    whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
+    last = F.col("taken") - whole * F.col("size")
+    rank = F.struct(F.col("mix_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.col("size"))
+    ends = placed.groupBy(source_key("source").alias("__skey")).agg(F.max(whole).alias("__whole"), F.max(F.when((last > 0) & (2 * last >= F.col("size")), rank)).alias("__end"))
+    ends = materialize(ends, "mix-ends")
+    if ends.count() <= most_sources:
+        ends = F.broadcast(ends)
+    own = F.struct(mix_key(seed, id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), word_count(text_col))
+    rows = docs.withColumn("__skey", source_key(source_col)).join(ends, "__skey")
+    passes = F.col("__whole") + F.when(F.col("__end").isNotNull() & (own <= F.col("__end")) & (word_count(text_col) > 0), 1).otherwise(0)
+    rows = rows.withColumn("__passes", passes.cast("int")).filter("__passes > 0")
+    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)

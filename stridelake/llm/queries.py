@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, langid, mixing, packing, quality, simhash, tokencount, toxicity, warc
+from . import embeddings, extraction, langid, mixing, packing, quality, simhash, tokencount, toxicity, warc
 from .common import held_out, importable, materialize
 
 
@@ -25,6 +25,10 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, **tokenizer_files()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -112,6 +116,7 @@ FROM m
 
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
+    "op2_main_text": op2_main_text,
     "op3_mix_sources": op3_mix_sources,
     "op4_toxicity": op4_toxicity,
     "op5_simhash_dedup": op5_simhash_dedup,

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, materialize, text_bytes
+from .common import arrow_input, importable, materialize, text_bytes
 from .components import connected_components
 
 #: Segments of a fingerprint, in a ring, and their bits.
@@ -31,18 +31,18 @@ def simhash(data: bytes, width: int = 3, seed: int = 42, block: int = 1 << 15) -
     return int(np.packbits(bits * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns carry of docs and fp (long). Null and empty texts: 0."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs (None: doc_id) and fp (long). Null and empty texts: 0."""
     importable(docs.sparkSession)
-    docs = docs.select(*carry, docs[text_col].alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    carry = [c for c in (carry or ["doc_id"]) if c != "fp"]
+    docs, at, ddl = arrow_input(docs, carry, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = pa.array([simhash(x, width, seed) for x in text_bytes(batch.column(len(carry)))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=[*carry, "fp"])
+            fp = pa.array([simhash(x, width, seed) for x in text_bytes(batch.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], fp], names=[*carry, "fp"])
 
-    return docs.mapInArrow(run, f"{schema}, fp long")
+    return docs.mapInArrow(run, f"{ddl}, fp long")
 
 
 def _ring(i: str) -> str:
@@ -69,17 +69,41 @@ def near_pairs(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of prints (doc_id, fp), which should be a table: it is read several times.
+    """doc_id, fp, root, component_id of prints (doc_id, fp), which should be a table: it is read several times.
 
-    Equal fingerprints are one node, so a group of copies costs one lookup. component_id is the smallest doc_id that
-    links reach (null if only rows without an id are reached). Texts without words share the fingerprint 0 and link
+    Equal fingerprints are one node, so a group of copies costs one lookup. root names the group; component_id is the
+    smallest doc_id in it (null if none of its rows has an id). Texts without words share the fingerprint 0 and link
     like any other. Rows that repeat an id each keep their own fingerprint. Empty table: no rows.
     """
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
     roots = connected_components(near_pairs(nodes.select("fp")))
     nodes = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(nodes.select("fp", "root").join(groups, "root").select("fp", "component_id"), "fp")
+    return prints.join(nodes.select("fp", "root").join(groups, "root").select("fp", "root", "component_id"), "fp")
+
+
+def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without all but one document of each group of near-duplicates: the one with the smallest doc_id stays.
+
+    Documents without an id come last, and of rows that repeat the winner's id and fingerprint one stays. A column
+    named fp keeps its content. Most rows pass an anti-join with the keys that lose or repeat; texts are shuffled
+    for it at most once.
+    """
+    columns = docs.columns
+    named = docs.withColumnRenamed("fp", "__fp")
+    printed = materialize(fingerprints(named, text_col=text_col, carry=named.columns), "printed")
+    keys = near_duplicates(printed.select("doc_id", "fp")).groupBy("doc_id", "fp", "root").agg(F.count("*").alias("n"))
+    keys = materialize(keys, "print-keys")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"))
+    keys = keys.join(keys.groupBy("root").agg(F.min(rank).alias("first")), "root").withColumn("wins", rank == F.col("first"))
+    no_id = F.lit(-(1 << 63))  # stands for null in the join, beside a flag
+    key = [F.coalesce("doc_id", no_id).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("fp")]
+    lost = keys.filter("NOT wins OR n > 1").select(*key)
+    again = keys.filter("wins AND n > 1").select(*key)
+    rows = printed.select("*", *key[:2])
+    once = rows.join(lost, ["__id", "__null", "fp"], "left_anti")
+    first = rows.join(again, ["__id", "__null", "fp"], "left_semi").dropDuplicates(["__id", "__null", "fp"])
+    return once.unionByName(first).select(*("__fp" if c == "fp" else c for c in columns)).toDF(*columns)
 
 
 def fingerprint_hex(fp: str = "fp"):

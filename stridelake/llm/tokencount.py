@@ -9,7 +9,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import importable, text_bytes
+from .common import arrow_input, importable, text_bytes
 
 #: What the unknown piece costs beyond the worst piece, as in public unigram tokenizers: a fixed value.
 UNKNOWN_PENALTY = 10.0
@@ -71,8 +71,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col:
     """
     importable(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("n_tokens", "best_score")]
-    docs = docs.select(*carry, docs[text_col].alias("__text"))
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[:-1]) + "n_tokens long, best_score double"
+    docs, at, ddl = arrow_input(docs, carry, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file, whatever the corpus
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +87,10 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col:
         known = Words().__getitem__
         for batch in batches:
             counts, scores = [], []
-            for data in text_bytes(batch.column(len(carry))):
+            for data in text_bytes(batch.column(at)):
                 found = list(map(known, data.split()))
                 counts.append(sum(n for _, n in found))
                 scores.append(math.fsum(s for s, _ in found))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(scores, pa.float64())], names=[*carry, "n_tokens", "best_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(counts, pa.int64()), pa.array(scores, pa.float64())], names=[*carry, "n_tokens", "best_score"])
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, f"{ddl}, n_tokens long, best_score double")

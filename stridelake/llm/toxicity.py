@@ -14,12 +14,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, importable, text_bytes
+from .common import arrow_input, held_out, importable, text_bytes
 
 #: The three start values of zstandard's repeated offsets, which end the header of a trained dictionary: fixed values.
 _REPEATS = (1).to_bytes(4, "little") + (4).to_bytes(4, "little") + (8).to_bytes(4, "little")
 _EDGES = b".,!?;:*#%&$\"'()"
-_STATS = 8
 
 
 @dataclass(frozen=True)
@@ -152,22 +151,21 @@ def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 40) -> tuple[np.ndarra
     return mean, scale, w
 
 
-def _feature_rows(docs: DataFrame, carry: list[str], dictionaries: list[tuple[bytes, bytes]], model: ToxicityModel | None, views: tuple[View, ...]) -> DataFrame:
-    """carry, and the features as a list or (with a model) the score, of docs (carry, __text)."""
-    docs = docs.select(*carry, "__text")
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[:-1])
+def _feature_rows(docs: DataFrame, carry: list[str], text_col: str, dictionaries: list[tuple[bytes, bytes]], model: ToxicityModel | None, views: tuple[View, ...]) -> DataFrame:
+    """carry, and as x the features as a list or (with a model) the score."""
+    docs, at, ddl = arrow_input(docs, carry, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(dictionaries, views)
         for batch in batches:
-            rows = [distances.features(t) for t in text_bytes(batch.column(len(carry)))]
+            rows = [distances.features(t) for t in text_bytes(batch.column(at))]
             if model is None:
                 made = pa.array(rows, pa.list_(pa.float64()))
             else:
                 made = pa.array(model.score(np.array(rows)) if rows else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*carry, "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], made], names=[*carry, "x"])
 
-    return docs.mapInArrow(run, ddl + ("x array<double>" if model is None else "x double"))
+    return docs.mapInArrow(run, ddl + (", x array<double>" if model is None else ", x double"))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = (9000, 4000), max_bytes: int = 64 << 10, views: tuple[View, ...] = VIEWS, dictionary_share: float = 0.6) -> ToxicityModel | None:
@@ -199,8 +197,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int]
         if at[y] > seen[y] or at[y] <= len(texts[y]) - seen[y]:
             sample.append((y, t.decode("utf-8", "surrogatepass")))
     spark = docs.sparkSession
-    rows = spark.createDataFrame(sample, "y int, __text string").repartition(max(2, min(64, len(sample) // 200)))
-    got = _feature_rows(rows, ["y"], dictionaries, None, views).collect()
+    rows = spark.createDataFrame(sample, "y int, text string").repartition(max(2, min(64, len(sample) // 200)))
+    got = _feature_rows(rows, ["y"], "text", dictionaries, None, views).collect()
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
     order = np.lexsort((*x.T[:4], y))  # as the rows' order differs from run to run, and sums with it
     return ToxicityModel(dictionaries, *_calibrate(x[order], y[order]))
@@ -217,5 +215,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str =
     if model is None:
         out = docs.select(*carry, F.lit(0.0).alias("score"))
     else:
-        out = _feature_rows(docs.select(*carry, docs[text_col].alias("__text")), carry, model.dictionaries, model, views).withColumnRenamed("x", "score")
+        out = _feature_rows(docs, carry, text_col, model.dictionaries, model, views).withColumnRenamed("x", "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
