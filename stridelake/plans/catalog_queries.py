@@ -1,15 +1,461 @@
-"""Registered queries over the driver's tables, with their DuckDB oracles."""
+"""Registered queries over the driver's tables, with their DuckDB oracles.
+
+Queries that read arrays write them from the tables first, so that their oracles are SQL on those tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES = {}
-ORACLES = {}
+from ..errors import Errors, NdError
+from ..functions import bits, checked, index, text
+from ..operators.frame import NDFrame
+from ..sources.catalog import inspect_fields, npy_catalog, read_properties
+from ..sources.npy_source import find_array, read_npy, read_npz
+from ..sources.sink import save_npy, save_npz, save_npz_compressed
+from ..workers import dense_index, importable, work_dir
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return run
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _matrix(spark: SparkSession, sf_dir: str, fortran_order: bool = False) -> str:
+    """The embeddings as a float32 matrix in a file, rows by vec_id."""
+    rows = dense_index(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", name="i")
+    n, d = rows.count(), 64
+    items = rows.select("i", F.posexplode("embedding").alias("k", "value"))
+    place = F.col("k") * n + F.col("i") if fortran_order else F.col("i") * d + F.col("k")
+    return save_npy(items.select(place.cast("long").alias("flat_index"), "value"), f"{work_dir(spark)}/matrix.npy", shape=(n, d), fortran_order=fortran_order)
+
+
+def _column(spark: SparkSession, sf_dir: str, table: str, order: list[str], value: Column, **options) -> str:
+    rows = dense_index(_t(spark, sf_dir, table).select(*order, value.alias("value")), *order)
+    return save_npy(rows.select("flat_index", "value"), f"{work_dir(spark)}/{table}.npy", **options)
+
+
+def _records(spark: SparkSession, sf_dir: str, table: str, order: list[str], columns: list[Column], **options) -> str:
+    rows = dense_index(_t(spark, sf_dir, table).select(*columns), *order)
+    return save_npy(rows, f"{work_dir(spark)}/{table}.npy", **options)
+
+
+EMBEDDING_ITEMS = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, label, embedding FROM embeddings"
+
+# Scans
+
+
+@query("SELECT i::BIGINT AS i0, list_max(embedding) AS max_value FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding FROM embeddings)")
+def npy_row_max(spark, sf_dir):
+    frame = NDFrame.load(spark, _matrix(spark, sf_dir))
+    return frame.indexed().groupBy("i0").agg(F.max("value").alias("max_value"))
+
+
+@query(f"SELECT (i * 64 + k - 1)::BIGINT AS flat_index, v AS value FROM (SELECT i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM ({EMBEDDING_ITEMS}))")
+def npy_scan_items(spark, sf_dir):
+    return read_npy(spark, _matrix(spark, sf_dir))
+
+
+@query(f"SELECT i::BIGINT AS i0, (k - 1)::BIGINT AS i1, v AS value FROM (SELECT i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM ({EMBEDDING_ITEMS}))")
+def npy_scan_multi_index(spark, sf_dir):
+    return NDFrame.load(spark, _matrix(spark, sf_dir)).indexed().select("i0", "i1", "value")
+
+
+@query(f"SELECT ((k - 1) * (SELECT count(*) FROM embeddings) + i)::BIGINT AS flat_index, i::BIGINT AS i0, (k - 1)::BIGINT AS i1, v AS value FROM (SELECT i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM ({EMBEDDING_ITEMS}))")
+def npy_scan_fortran(spark, sf_dir):
+    return NDFrame.load(spark, _matrix(spark, sf_dir, True)).indexed()
+
+
+@query(f"SELECT i::BIGINT AS i0, embedding AS values FROM ({EMBEDDING_ITEMS})")
+def npy_scan_rows(spark, sf_dir):
+    return read_npy(spark, _matrix(spark, sf_dir), "rows")
+
+
+@query("SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity) - 1)::BIGINT AS flat_index, l_quantity AS value FROM lineitem")
+def npy_big_endian_decode(spark, sf_dir):
+    return read_npy(spark, _column(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], F.col("l_quantity"), typestr=">f8"))
+
+
+@query("""SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::BIGINT AS flat_index,
+  regexp_replace(lpad(to_hex(c_nationkey::UINTEGER), 8, '0'), '(..)(..)(..)(..)', '\\4\\3\\2\\1') AS stored,
+  lpad(to_hex(c_nationkey::UINTEGER), 8, '0') AS swapped FROM customer""")
+def npy_raw_bytes_bswap32(spark, sf_dir):
+    raw = read_npy(spark, _column(spark, sf_dir, "customer", ["c_custkey"], F.col("c_nationkey")), "raw")
+    return raw.select("flat_index", F.hex("value").alias("stored"), F.hex(bits.bswap_binary(F.col("value"))).alias("swapped"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::BIGINT AS flat_index, c_name AS name, c_acctbal AS acctbal, c_nationkey AS nationkey FROM customer")
+def npy_structured_records(spark, sf_dir):
+    columns = [F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"), F.col("c_nationkey").alias("nationkey")]
+    rows = dense_index(_t(spark, sf_dir, "customer").select("c_custkey", *columns), "c_custkey").drop("c_custkey")
+    return read_npy(spark, save_npy(rows, f"{work_dir(spark)}/customer.npy", widths={"name": 24}), "records")
+
+
+@query("SELECT n_nationkey::BIGINT AS flat_index, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def npy_nested_field(spark, sf_dir):
+    joined = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = joined.select(F.col("n_nationkey").cast("long").alias("flat_index"), F.struct(F.col("n_name").alias("name"), F.struct(F.col("r_name").alias("name"), F.col("r_regionkey").alias("key")).alias("region")).alias("value"))
+    frame = NDFrame.load(spark, save_npy(rows, f"{work_dir(spark)}/nested.npy", widths={"name": 32, "region.name": 32}))
+    return frame.field("name").items.withColumnRenamed("value", "name").join(frame.field("region", "name").items.withColumnRenamed("value", "region"), "flat_index")
+
+
+@query(f"SELECT i::BIGINT AS flat_index, label, embedding FROM ({EMBEDDING_ITEMS})")
+def npy_subarray_field(spark, sf_dir):
+    rows = dense_index(_t(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "vec_id").drop("vec_id")
+    return read_npy(spark, save_npy(rows, f"{work_dir(spark)}/sub.npy", shapes={"embedding": (64,)}), "records")
+
+
+LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax"]
+
+
+@query("SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_tax) - 1)::BIGINT AS flat_index, l_extendedprice, l_tax FROM lineitem")
+def npy_field_projection(spark, sf_dir):
+    path = _records(spark, sf_dir, "lineitem", LINES, [F.col(c) for c in LINES])
+    return read_npy(spark, path, "records", fields="l_extendedprice,l_tax")
+
+
+@query("SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_tax) - 1)::BIGINT AS flat_index, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_tax FROM lineitem")
+def npy_roundtrip_types(spark, sf_dir):
+    return read_npy(spark, _records(spark, sf_dir, "lineitem", LINES, [F.col(c) for c in LINES]), "records")
+
+
+def _orders(spark, sf_dir) -> NDFrame:
+    return NDFrame.load(spark, _column(spark, sf_dir, "orders", ["o_orderkey"], F.col("o_totalprice")))
+
+
+@query("SELECT * FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS flat_index, o_totalprice AS value FROM orders) WHERE flat_index >= 1000")
+def npy_seek_range(spark, sf_dir):
+    return _orders(spark, sf_dir).seek(1000)
+
+
+@query("SELECT * FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS flat_index, o_totalprice AS value FROM orders) WHERE flat_index = 77")
+def npy_view_item(spark, sf_dir):
+    return _orders(spark, sf_dir).get(77)
+
+
+@query("SELECT (sum(i))::BIGINT AS total, count(*)::BIGINT AS n FROM (SELECT (i * 64 + k - 1) AS i FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, generate_subscripts(embedding, 1) AS k FROM embeddings)) WHERE i < 30")
+def npy_first_n_sum(spark, sf_dir):
+    return NDFrame.load(spark, _matrix(spark, sf_dir)).limit_items(30).agg(F.sum("flat_index").alias("total"), F.count("*").alias("n"))
+
+
+@query("SELECT vec_id AS flat_index FROM embeddings WHERE false")
+def npy_props_skip(spark, sf_dir):
+    path = _matrix(spark, sf_dir)
+    header = read_properties(path, lambda h: len(h.shape) == 3)
+    rows = read_npy(spark, path).select("flat_index")
+    return rows if header else rows.limit(0)
+
+
+@query("SELECT * FROM (VALUES ('name', '<U24', 0::BIGINT, 96::BIGINT, 96::BIGINT), ('place', 'struct', 96, 12, 108), ('place.nationkey', '<i4', 96, 4, 100), ('place.acctbal', '<f8', 100, 8, 108)) t(path, type, \"offset\", item_size, \"end\")")
+def field_catalog(spark, sf_dir):
+    rows = dense_index(_t(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("acctbal")).alias("place")), "c_custkey").drop("c_custkey")
+    return inspect_fields(spark, save_npy(rows, f"{work_dir(spark)}/fields.npy", widths={"name": 24}))
+
+
+@query("""SELECT '2.0' AS version, '''<f4''' AS descr, 4::BIGINT AS item_size, false AS fortran_order, [n, 64] AS shape, n * 64 AS size,
+  n * 256 AS data_size, concat('{''descr'': ''<f4'', ''fortran_order'': False, ''shape'': (', n, ', 64), }') AS header, 0 AS warnings, 0 AS error_code FROM (SELECT count(*)::BIGINT AS n FROM embeddings)""")
+def header_catalog(spark, sf_dir):
+    return npy_catalog(spark, [_matrix(spark, sf_dir)]).select("version", "descr", "item_size", "fortran_order", "shape", "size", "data_size", "header", "warnings", "error_code")
+
+
+def _names_archive(spark, sf_dir, named: bool) -> str:
+    region = _t(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("flat_index"), F.col("r_name").alias("value"))
+    nation = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("flat_index"), F.col("n_name").alias("value"))
+    arrays = [(region, {"typestr": "<U32"}), (nation, {"typestr": "<U32"})]
+    return save_npz(f"{work_dir(spark)}/names.npz", dict(zip(("region", "nation"), arrays)) if named else arrays)
+
+
+@query("SELECT 'region' AS array_name, r_regionkey::BIGINT AS flat_index, r_name AS value FROM region UNION ALL SELECT 'nation', n_nationkey::BIGINT, n_name FROM nation")
+def npz_scan_named(spark, sf_dir):
+    return read_npz(spark, _names_archive(spark, sf_dir, True))
+
+
+@query("SELECT n_nationkey::BIGINT AS flat_index, n_name AS value FROM nation")
+def npz_find_name(spark, sf_dir):
+    return find_array(read_npz(spark, _names_archive(spark, sf_dir, True)), "nation")
+
+
+@query("SELECT 'arr_0' AS array_name, r_regionkey::BIGINT AS flat_index, r_name AS value FROM region UNION ALL SELECT 'arr_1', n_nationkey::BIGINT, n_name FROM nation")
+def npz_unnamed(spark, sf_dir):
+    return read_npz(spark, _names_archive(spark, sf_dir, False))
+
+
+@query("SELECT 'balance' AS array_name, (row_number() OVER (ORDER BY s_suppkey) - 1)::BIGINT AS flat_index, s_acctbal AS value FROM supplier")
+def npz_compressed_roundtrip(spark, sf_dir):
+    rows = dense_index(_t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("value")), "s_suppkey").drop("s_suppkey")
+    return read_npz(spark, save_npz_compressed(f"{work_dir(spark)}/supplier.npz", {"balance": rows}, level=6))
+
+
+@query("SELECT 'region' AS array_name, [count(*)]::BIGINT[] AS shape, 128::BIGINT AS item_size, 0 AS error_code FROM region UNION ALL SELECT 'nation', [count(*)]::BIGINT[], 128, 0 FROM nation")
+def npz_catalog(spark, sf_dir):
+    return npy_catalog(spark, [_names_archive(spark, sf_dir, True)]).select("array_name", "shape", "item_size", "error_code")
+
+
+# Aggregates, points and elements
+
+
+@query("SELECT vec_id, list_max(embedding) AS max_value FROM embeddings")
+def array_max(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.array_max("embedding").alias("max_value"))
+
+
+@query("SELECT label, max(list_max(embedding)) AS max_item, count(*)::BIGINT AS n FROM embeddings GROUP BY label")
+def group_max(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(F.array_max("embedding")).alias("max_item"), F.count("*").alias("n"))
+
+
+@query("SELECT vec_id, embedding[-1] AS last_value FROM embeddings")
+def array_last_negative_index(spark, sf_dir):
+    at = index.normalize_index(F.lit(-1), F.size("embedding"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.element_at("embedding", (at + 1).cast("int")).alias("last_value"))
+
+
+@query(f"SELECT event_id, embedding[(user_id % 64 + 1)::INT] AS value FROM events JOIN ({EMBEDDING_ITEMS}) e ON e.i = event_id % 100 WHERE event_id % 7 = 0")
+def gather_indices(spark, sf_dir):
+    points = _t(spark, sf_dir, "events").filter("event_id % 7 = 0").select("event_id", (F.col("event_id") % 100).alias("a"), (F.col("user_id") % 64 - 64).alias("b"))
+    return NDFrame.load(spark, _matrix(spark, sf_dir)).gather(points, "a", "b").select("event_id", "value")
+
+
+@query(f"SELECT (i * 64 + k - 1)::BIGINT AS flat_index, CASE WHEN i = 3 AND k = 64 THEN 9.5::FLOAT ELSE v END AS value FROM (SELECT i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM ({EMBEDDING_ITEMS})) WHERE i < 10")
+def set_item(spark, sf_dir):
+    return NDFrame.load(spark, _matrix(spark, sf_dir)).set((3, -1), 9.5).limit_items(640)
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 2 + 1) AS applied FROM embeddings")
+def apply_scalar(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 2 + 1).alias("applied"))
+
+
+@query(f"SELECT (i * 64 + k - 1)::BIGINT AS flat_index, v::DOUBLE * 2 + 1 AS value FROM (SELECT i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM ({EMBEDDING_ITEMS}))")
+def apply_items(spark, sf_dir):
+    return NDFrame.load(spark, _matrix(spark, sf_dir)).apply(lambda v: v.cast("double") * 2 + 1).items
+
+
+@query("SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS flat_index, o_totalprice AS value FROM orders")
+def apply_byteswap_twice(spark, sf_dir):
+    return _orders(spark, sf_dir).apply(bits.bswap_double).apply(bits.bswap_double).items
+
+
+@query(f"SELECT embedding[6]::DOUBLE * 10 AS value FROM ({EMBEDDING_ITEMS}) WHERE i = 2")
+def transform_one(spark, sf_dir):
+    return NDFrame.load(spark, _matrix(spark, sf_dir)).transform(lambda v: v.cast("double") * 10, 2, 5)
+
+
+@query("SELECT flat_index, value * 2 + flat_index AS mapped FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS flat_index, o_totalprice AS value FROM orders)")
+def map_items(spark, sf_dir):
+    return _orders(spark, sf_dir).map(lambda v, i: v * 2 + i, "mapped")
+
+
+@query("SELECT vec_id, list_reduce(list_prepend(0::DOUBLE, list_transform(embedding, lambda x: x::DOUBLE)), lambda a, x: a + x) AS total FROM embeddings")
+def ordered_fold(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
+
+
+@query(f"SELECT i::BIGINT AS row, list_reduce(list_prepend(0::DOUBLE, list_transform(embedding, lambda x: x::DOUBLE)), lambda a, x: a * 0.5 + x) AS value FROM ({EMBEDDING_ITEMS})")
+def ordered_fold_items(spark, sf_dir):
+    return NDFrame.load(spark, _matrix(spark, sf_dir)).fold_ordered(F.lit(0.0), lambda a, x: a * 0.5 + x.cast("double"), 64)
+
+
+@query("SELECT vec_id, embedding[9:16] AS second_row, [embedding[2 + 8 * 0], embedding[2 + 8 * 1], embedding[2 + 8 * 2], embedding[2 + 8 * 3], embedding[2 + 8 * 4], embedding[2 + 8 * 5], embedding[2 + 8 * 6], embedding[2 + 8 * 7]] AS second_column FROM embeddings")
+def reshape_rows_cols(spark, sf_dir):
+    pick = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.element_at("embedding", (index.ravel([j, F.lit(1)], (8, 8)) + 1).cast("int")))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 9, 8).alias("second_row"), pick.alias("second_column"))
+
+
+@query(f"SELECT i::BIGINT AS i0, ((k - 1) // 8)::BIGINT AS i1, ((k - 1) % 8)::BIGINT AS i2, v AS value FROM (SELECT i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM ({EMBEDDING_ITEMS}))")
+def reshape_items(spark, sf_dir):
+    frame = NDFrame.load(spark, _matrix(spark, sf_dir))
+    return frame.reshape(frame.shape[0], 8, 8).indexed().drop("flat_index")
+
+
+@query("SELECT 601 AS code, 'invalid_value' AS name")
+def reshape_invalid(spark, sf_dir):
+    try:
+        NDFrame.full(spark, (4, 4)).reshape(5, 3)
+    except NdError as e:
+        return spark.createDataFrame([(int(e.code), e.code.name)], "code int, name string")
+    raise AssertionError("reshape took another size")
+
+
+@query("SELECT (CASE WHEN (SELECT count(*) FROM region) >= 0 THEN 24 END)::BIGINT AS n, 0.0::DOUBLE AS low, 0.0::DOUBLE AS high, 23::BIGINT AS last")
+def construct_zeros(spark, sf_dir):
+    frame = NDFrame.full(spark, (2, 3, 4))
+    return frame.items.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.max("flat_index").alias("last"))
+
+
+# Index algebra
+
+
+def _shapes(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array((F.col("p_size") % 5 + 1).cast("long"), (F.col("p_partkey") % 7 + 1).cast("long"), (F.col("p_size") % 3 + 1).cast("long")).alias("shape"))
+
+
+DIMS = "SELECT p_partkey, (p_size % 5 + 1)::BIGINT AS a, (p_partkey % 7 + 1)::BIGINT AS b, (p_size % 3 + 1)::BIGINT AS c FROM part"
+
+
+@query(f"SELECT p_partkey, [b * c, c, 1] AS strides, c AS behind_second FROM ({DIMS})")
+def strides_row_major(spark, sf_dir):
+    return _shapes(spark, sf_dir).select("p_partkey", index.strides_of(F.col("shape")).alias("strides"), index.stride_row_major(F.col("shape"), 1).alias("behind_second"))
+
+
+@query(f"SELECT p_partkey, [1, a, a * b] AS strides, a AS before_second FROM ({DIMS})")
+def strides_col_major(spark, sf_dir):
+    return _shapes(spark, sf_dir).select("p_partkey", index.strides_of(F.col("shape"), True).alias("strides"), index.stride_col_major(F.col("shape"), 1).alias("before_second"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_orderkey % 24)::BIGINT AS flat, ((l_orderkey % 24) // 12)::BIGINT AS a, (((l_orderkey % 24) // 4) % 3)::BIGINT AS b, ((l_orderkey % 24) % 4)::BIGINT AS c, (l_orderkey % 24)::BIGINT AS again FROM lineitem")
+def ravel_unravel_identity(spark, sf_dir):
+    flat = F.col("l_orderkey") % 24
+    a, b, c = index.unravel(flat, (2, 3, 4))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", flat.alias("flat"), a.alias("a"), b.alias("b"), c.alias("c"), index.ravel([a, b, c], (2, 3, 4)).alias("again"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ((l_orderkey % 60) // 12)::BIGINT AS a, (((l_orderkey % 60) % 12) // 4)::BIGINT AS b, ((l_orderkey % 60) % 4)::BIGINT AS c FROM lineitem")
+def unravel_strided(spark, sf_dir):
+    a, b, c = index.unravel_strided(F.col("l_orderkey") % 60, (12, 4, 1))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b"), c.alias("c"))
+
+
+@query(f"SELECT p_partkey, a * b * c AS size, NULL::BIGINT AS too_large FROM ({DIMS})")
+def shape_size_checked(spark, sf_dir):
+    huge = F.concat(F.col("shape"), F.array(F.lit(1 << 40), F.lit(1 << 40)))
+    return _shapes(spark, sf_dir).select("p_partkey", index.size_of(F.col("shape")).alias("size"), index.size_of(huge).alias("too_large"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber - 4 < -3 OR l_linenumber - 4 >= 3 THEN NULL WHEN l_linenumber - 4 < 0 THEN l_linenumber - 1 ELSE l_linenumber - 4 END::BIGINT AS at FROM lineitem")
+def negative_index_normalise(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", index.normalize_index(F.col("l_linenumber") - 4, 3, "null").alias("at"))
+
+
+@query(f"SELECT p_partkey, concat('(', a, ', ', b, ', ', c, ')') AS three, concat('(', a, ',)') AS one FROM ({DIMS})")
+def shape_text(spark, sf_dir):
+    return _shapes(spark, sf_dir).select("p_partkey", text.shape_text(F.col("shape")).alias("three"), text.shape_text(F.slice("shape", 1, 1)).alias("one"))
+
+
+# Bits and bytes
+
+
+@query("""SELECT l_orderkey, l_linenumber, (CASE WHEN s >= 2147483648 THEN s - 4294967296 ELSE s END)::INT AS swapped FROM (
+  SELECT *, ((l_orderkey & 255) << 24) + (((l_orderkey >> 8) & 255) << 16) + (((l_orderkey >> 16) & 255) << 8) + ((l_orderkey >> 24) & 255) AS s FROM lineitem)""")
+def bswap32_bits(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bits.bswap(F.col("l_orderkey").cast("int"), 4).alias("swapped"))
+
+
+@query("SELECT p_partkey, (CASE WHEN s >= 32768 THEN s - 65536 ELSE s END)::SMALLINT AS swapped FROM (SELECT p_partkey, ((p_size & 255) << 8) + ((p_size >> 8) & 255) AS s FROM part)")
+def bswap16(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", bits.bswap(F.col("p_size").cast("smallint"), 2).alias("swapped"))
+
+
+@query("SELECT o_orderkey, regexp_replace(lpad(to_hex(o_orderkey), 16, '0'), '(..)(..)(..)(..)(..)(..)(..)(..)', '\\8\\7\\6\\5\\4\\3\\2\\1') AS swapped FROM orders")
+def bswap64(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.lpad(F.hex(bits.bswap(F.col("o_orderkey"), 8)), 16, "0").alias("swapped"))
+
+
+@query("SELECT o_orderkey, (o_orderkey & 6) = 6 AS is_set, o_orderkey | 12 AS with_flag, o_orderkey & ~12::BIGINT AS without, xor(o_orderkey, 12) AS toggled FROM orders")
+def flags_set_clear_toggle(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return _t(spark, sf_dir, "orders").select(k, bits.flag_is_set(k, 6).alias("is_set"), bits.set_flag(k, 12).alias("with_flag"), bits.clear_flag(k, 12).alias("without"), bits.toggle_flag(k, 12).alias("toggled"))
+
+
+@query("SELECT o_orderkey, (o_orderkey >> 3) & 31 AS field, (o_orderkey & ~248::BIGINT) | 80 AS written, xor(o_orderkey, 248) AS flipped FROM orders")
+def bitfield_get_set_toggle(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return _t(spark, sf_dir, "orders").select(k, bits.get_bits(k, 3, 5).alias("field"), bits.set_bits(k, 3, 5, 10).alias("written"), bits.toggle_bits(k, 3, 5).alias("flipped"))
+
+
+@query("SELECT o_orderkey, ((o_orderkey >> 5) & 1) = 1 AS is_set, o_orderkey | 32 AS with_bit, o_orderkey & ~32::BIGINT AS without, xor(o_orderkey, 1099511627776) AS toggled FROM orders")
+def bit_single(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return _t(spark, sf_dir, "orders").select(k, bits.bit_is_set(k, 5).alias("is_set"), bits.set_bit(k, 5).alias("with_bit"), bits.clear_bit(k, 5).alias("without"), bits.toggle_bit(k, 40).alias("toggled"))
+
+
+@query("SELECT o_orderkey, o_custkey * o_orderkey AS product, NULL::BIGINT AS overflow, o_orderkey < o_custkey AS less FROM orders")
+def checked_arithmetic(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return _t(spark, sf_dir, "orders").select(k, checked.mul_checked(k, c).alias("product"), checked.add_checked(F.lit((1 << 63) - 1), F.abs(k) + 1).alias("overflow"), checked.cmp_less(k, c).alias("less"))
+
+
+# Text
+
+
+@query("SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS points FROM documents")
+def ucs4_codepoints(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.to_ucs4(F.col("text")).alias("points"))
+
+
+@query("SELECT doc_id, (length(text) * 4)::BIGINT AS n_bytes FROM documents")
+def ucs4_bytesize(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.ucs4_bytesize(F.col("text")).alias("n_bytes"))
+
+
+@query("SELECT c_custkey, c_name AS again, (length(c_name) * 4)::BIGINT AS n_bytes FROM customer")
+def ucs4_roundtrip(spark, sf_dir):
+    raw = text.ucs4_bytes(F.col("c_name"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.from_ucs4_bytes(raw).alias("again"), F.octet_length(raw).cast("long").alias("n_bytes"))
+
+
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, text AS again, true AS valid FROM documents")
+def utf8_bytes(spark, sf_dir):
+    raw = text.to_utf8(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), text.utf8_to_string(raw).alias("again"), text.is_valid_utf8(raw).alias("valid"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) > 500 AS overflows FROM documents")
+def utf8_fixed_overflow(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.to_utf8(F.col("text"), 500, "null").isNull().alias("overflows"))
+
+
+@query(f"SELECT p_partkey, concat('[', a, ', ', b, ', ', c, ']') AS plain, concat('<', a, ';', b, ';', c, '>') AS styled FROM ({DIMS})")
+def join_format(spark, sf_dir):
+    return _shapes(spark, sf_dir).select("p_partkey", text.join_format(F.col("shape")).alias("plain"), text.join_format(F.col("shape"), ";", "<", ">").alias("styled"))
+
+
+@query(f"SELECT p_partkey, list_contains([a, b, c], 3) AS has, CASE WHEN list_position([a, b, c], 3) > 0 THEN list_position([a, b, c], 3) - 1 END::BIGINT AS at FROM ({DIMS})")
+def contains_position(spark, sf_dir):
+    return _shapes(spark, sf_dir).select("p_partkey", checked.contains(F.col("shape"), F.lit(3).cast("long")).alias("has"), checked.index_of(F.col("shape"), F.lit(3).cast("long")).cast("long").alias("at"))
+
+
+@query("""SELECT c_custkey, list_transform(range(0, (octet_length(b) + 15) // 16), lambda j: concat(lower(lpad(to_hex(j * 16), 8, '0')), ': ',
+  rpad(lower(regexp_replace(substr(h, (j * 32 + 1)::INT, 32), '(..)', '\\1 ', 'g')), 48, ' '), ' | ', substr(c_name, (j * 16 + 1)::INT, 16))) AS lines
+  FROM (SELECT c_custkey, c_name, encode(c_name) AS b, hex(encode(c_name)) AS h FROM customer)""")
+def hexdump_lines(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.hexdump_lines(F.encode("c_name", "UTF-8")).alias("lines"))
+
+
+@query("SELECT p_partkey, concat('[[', lpad(a::VARCHAR, 2, ' '), ', ', lpad(b::VARCHAR, 2, ' '), '],\n [', lpad(c::VARCHAR, 2, ' '), ', ', lpad(d::VARCHAR, 2, ' '), ']]') AS shown FROM (SELECT p_partkey, p_size % 50 AS a, p_size % 7 AS b, p_size % 9 AS c, p_size % 30 AS d FROM part)")
+def tensor_text(spark, sf_dir):
+    cells = F.array(*(F.col("p_size") % n for n in (50, 7, 9, 30)))
+    return _t(spark, sf_dir, "part").select("p_partkey", text.tensor_text(cells, (2, 2)).alias("shown"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'little' WHEN 1 THEN 'big' WHEN 2 THEN 'native' WHEN 3 THEN 'not_relevant' ELSE 'invalid' END AS name FROM nation")
+def byte_order_names(spark, sf_dir):
+    chars = F.element_at(F.array(*map(F.lit, "<>=|!")), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", text.byte_order_name(chars).alias("name"))
+
+
+@query()
+def error_codes(spark, sf_dir):
+    return spark.createDataFrame([(int(e), e.name) for e in Errors], "code int, name string")
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maximum item of each embedding vector, per label."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.groupBy("label").agg(F.max(F.array_max("embedding")).alias("max_item"), F.count("*").alias("n"))
+FLAGSHIP = npy_row_max
