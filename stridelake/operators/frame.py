@@ -24,13 +24,25 @@ class NDFrame:
     items: DataFrame
     shape: tuple[int, ...]
     fortran_order: bool = False
+    #: Gives the items from a first to before a last one, where a reader can start there.
+    ranged: Callable[[int, int], DataFrame] | None = None
+
+    def _derive(self, f: Callable[[DataFrame], DataFrame]) -> NDFrame:
+        ranged = self.ranged
+        return replace(self, items=f(self.items), ranged=(lambda b, e: f(ranged(b, e))) if ranged else None)
+
+    def between(self, begin: int, end: int) -> DataFrame:
+        """Items begin to before end; a file is read from there only."""
+        if self.ranged:
+            return self.ranged(begin, end)
+        return self.items.filter((F.col("flat_index") >= begin) & (F.col("flat_index") < end))
 
     # Construction
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **options) -> NDFrame:
         header = read_properties(path)
-        return cls(read_npy(spark, path, "items", **options), header.shape, header.fortran_order)
+        return cls(read_npy(spark, path, "items", **options), header.shape, header.fortran_order, lambda b, e: read_npy(spark, path, "items", begin=b, end=e, **options))
 
     @classmethod
     def full(cls, spark: SparkSession, shape: Sequence[int], value: Column | float = 0.0, fortran_order: bool = False) -> NDFrame:
@@ -72,7 +84,8 @@ class NDFrame:
 
     def get(self, *index: int) -> DataFrame:
         """One item as a row; negative indices count from the end, NdError 602 or 603 for others."""
-        return self.items.filter(F.col("flat_index") == self._flat(index))
+        at = self._flat(index)
+        return self.between(at, at + 1)
 
     def value(self, *index: int):
         row = self.get(*index).first()
@@ -87,7 +100,7 @@ class NDFrame:
     def set(self, index: Sequence[int], value: Column | float) -> NDFrame:
         at = self._flat(index)
         new = (value if isinstance(value, Column) else F.lit(value)).cast(self.dtype)
-        return replace(self, items=self.items.withColumn("value", F.when(F.col("flat_index") == at, new).otherwise(F.col("value"))))
+        return self._derive(lambda d: d.withColumn("value", F.when(F.col("flat_index") == at, new).otherwise(F.col("value"))))
 
     def field(self, *names: str) -> NDFrame:
         """Frame of a field, or of a field of a field; an error that names the path if there is none."""
@@ -96,13 +109,13 @@ class NDFrame:
             if not hasattr(here, "names") or n not in here.names:
                 raise NdError(Errors.invalid_value, "Field not found: /" + "/".join(names))
             here = here[n].dataType
-        return replace(self, items=self.items.select("flat_index", reduce(lambda c, n: c[n], names, F.col("value")).alias("value")))
+        return self._derive(lambda d: d.select("flat_index", reduce(lambda c, n: c[n], names, F.col("value")).alias("value")))
 
     # Elements
 
     def apply(self, f: Callable[[Column], Column]) -> NDFrame:
         """Every value replaced by f of it."""
-        return replace(self, items=self.items.select("flat_index", f(F.col("value")).alias("value")))
+        return self._derive(lambda d: d.select("flat_index", f(F.col("value")).alias("value")))
 
     def apply_arrow(self, f, value_type: str) -> NDFrame:
         """apply for what expressions can't do: f maps an Array of values to one of the same length, batch by batch."""
@@ -115,7 +128,7 @@ class NDFrame:
                     raise NdError(Errors.item_size_mismatch, f"{len(out)} values for {b.num_rows}")
                 yield pa.RecordBatch.from_arrays([b.column(0), out], names=["flat_index", "value"])
 
-        return replace(self, items=self.items.select("flat_index", "value").mapInArrow(run, f"flat_index long, value {value_type}"))
+        return self._derive(lambda d: d.select("flat_index", "value").mapInArrow(run, f"flat_index long, value {value_type}"))
 
     def transform(self, f: Callable[[Column], Column], *index: int) -> DataFrame:
         """f of one item; the array stays as it is."""
@@ -126,14 +139,14 @@ class NDFrame:
         return self.items.select("flat_index", f(F.col("value"), F.col("flat_index")).alias(name))
 
     def limit_items(self, n: int, begin: int = 0) -> DataFrame:
-        """Items begin to begin + n in storage order; the range reaches the reader."""
-        return self.items.filter((F.col("flat_index") >= begin) & (F.col("flat_index") < begin + n))
+        """Items begin to begin + n in storage order."""
+        return self.between(begin, begin + n)
 
     def seek(self, k: int) -> DataFrame:
         """Items from k on; k may be the number of items. NdError 504 beyond."""
         if not 0 <= k <= self.size:
             raise NdError(Errors.invalid_item_offset, str(k))
-        return self.items.filter(F.col("flat_index") >= k)
+        return self.between(k, self.size)
 
     def __iter__(self) -> Iterator[Row]:
         """Items in storage order, one partition at a time on the driver."""

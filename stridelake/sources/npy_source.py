@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import Errors, NdError
 from ..workers import importable
@@ -63,7 +63,11 @@ def layout_schema(header: Header, layout: str, fields: list[str] | None, named:
 
 class ArraySource(DataSource):
     """Options: path (a file or a folder of files of one type), layout (items, records, rows, raw), fields, lenient,
-    partitionBytes, and for archives arrays (names, by comma)."""
+    partitionBytes, begin and end (a range of items, or of rows), and for archives arrays (names, by comma).
+
+    Ranges and names are options, not pushed filters: Spark keeps what a Python reader was told to filter for all
+    later queries over the same DataFrame, which would then miss rows.
+    """
 
     suffix, named = ".npy", False
 
@@ -111,37 +115,13 @@ class ArrayReader(DataSourceReader):
         self.source, self.names = source, schema.names
         self.layout = source.options.get("layout", "items")
         self.index = "i0" if self.layout == "rows" else "flat_index"
-        self.low, self.high, self.array = 0, None, None
-
-    def pushFilters(self, filters: list[Filter]):
-        """Takes comparisons of the index with a number and equality of the array's name: both hold exactly."""
-        for f in filters:
-            at, value = getattr(f, "attribute", None), getattr(f, "value", None)
-            if at == (self.index,) and isinstance(value, int) and not isinstance(value, bool):
-                match f:
-                    case GreaterThan():
-                        self.low = max(self.low, value + 1)
-                    case GreaterThanOrEqual():
-                        self.low = max(self.low, value)
-                    case LessThan():
-                        self.high = value if self.high is None else min(self.high, value)
-                    case LessThanOrEqual():
-                        self.high = value + 1 if self.high is None else min(self.high, value + 1)
-                    case EqualTo():
-                        self.low, self.high = max(self.low, value), value + 1 if self.high is None else min(self.high, value + 1)
-                    case _:
-                        yield f
-            elif at == ("array_name",) and self.source.named and isinstance(f, EqualTo) and isinstance(value, str) and self.array in (None, value):
-                self.array = value
-            else:
-                yield f
+        self.low = int(source.options.get("begin", 0))
+        self.high = int(source.options["end"]) if "end" in source.options else None
 
     def partitions(self) -> list[Span]:
         out, first = [], None
         budget = int(self.source.options.get("partitionBytes", PARTITION_BYTES))
         for path, entry in self.source.entries():
-            if self.array is not None and array_name(entry) != self.array:
-                continue
             header = self.source.header(path, entry)
             first = first or header
             if spark_type(header.dtype) != spark_type(first.dtype):
@@ -207,9 +187,8 @@ def _skip(stream, data_offset: int, count: int, seekable: bool) -> None:
 
 
 def register(spark: SparkSession) -> None:
-    """Make "npy" and "npz" known to the session, with filters pushed into them."""
+    """Make "npy" and "npz" known to the session."""
     importable(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NpySource)
     spark.dataSource.register(NpzSource)
 
