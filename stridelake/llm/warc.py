@@ -140,8 +140,8 @@ def read_archive(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     rest = head + stream.read(chunk)
     while rest:
-        if len(rest) < 18:  # the longest frame header
-            rest += stream.read(chunk)
+        while len(rest) < 18 and (more := stream.read(chunk)):  # the longest frame header
+            rest += more
         if struct.unpack("<I", rest[:4].ljust(4, b"\0"))[0] != ZSTD_FRAME_MAGIC:
             raise WarcError("no zstandard frame where a record should start")
         if dictionary and zstandard.get_frame_parameters(rest).dict_id != dictionary.dict_id():
