@@ -71,6 +71,14 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_input(docs: DataFrame, carry: list[str], text_col: str) -> tuple[DataFrame, int, str]:
     """docs with the columns carry first and the text somewhere, where the text is, and the DDL of carry.
 
@@ -79,5 +87,5 @@ def arrow_input(docs: DataFrame, carry: list[str], text_col: str) -> tuple[DataF
     if text_col in carry:
         docs, at = docs.select(*(docs[c] for c in carry)), carry.index(text_col)
     else:
-        docs, at = docs.select(*(docs[c] for c in carry), docs[text_col].alias("__text")), len(carry)
+        docs, at = docs.select(*(docs[c] for c in carry), docs[text_col].alias(free_name(docs, "__text"))), len(carry)
     return docs, at, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(carry)])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, materialize
+from .common import free_name, importable, materialize
 
 # Fixed values of HTML: elements without content, elements whose content is no markup, elements that start a block,
 # and which open elements a start tag ends.
@@ -277,19 +277,20 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, share: float = 0.1,
     templates = materialize(site_templates(pages, min_pages, share, url_col, html_col), "templates")
     size = templates.agg(F.sum(F.size("templates") * 40 + 200)).first()[0] or 0
     small = size <= broadcast_bytes
-    rows = pages.select(*carry, host_of(url_col).alias("__host"), F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
-    found = templates.withColumnRenamed("host", "__host")
-    rows = rows.join(F.broadcast(found) if small else found, "__host", "left").select(*carry, "__host", "templates", "__html")
+    host, source, known = (free_name(pages, n) for n in ("__host", "__html", "__templates"))
+    rows = pages.select(*carry, host_of(url_col).alias(host), F.coalesce(F.col(html_col), F.lit("")).alias(source))
+    found = templates.select(F.col("host").alias(host), F.col("templates").alias(known))
+    rows = rows.join(F.broadcast(found) if small else found, host, "left").select(*carry, host, known, source)
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(carry)]) + "text string, n_chars long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, known, host = len(carry), frozenset(), None
+        n, site, digests = len(carry), None, frozenset()
         for batch in batches:
             texts = []
             for row in range(batch.num_rows):
-                if (now := batch.column(n)[row].as_py()) != host:
-                    host, known = now, frozenset(batch.column(n + 1)[row].as_py() or ())
-                texts.append(main_text(parse(batch.column(n + 2)[row].as_py()), known))
+                if (now := batch.column(n)[row].as_py()) != site:
+                    site, digests = now, frozenset(batch.column(n + 1)[row].as_py() or ())
+                texts.append(main_text(parse(batch.column(n + 2)[row].as_py()), digests))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*carry, "text", "n_chars"])
 
     return rows.mapInArrow(run, ddl)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, free_name, materialize
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -104,12 +104,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     last = F.col("taken") - whole * F.col("size")
     rank = F.struct(F.col("mix_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.col("size"))
-    ends = placed.groupBy(source_key("source").alias("__skey")).agg(F.max(whole).alias("__whole"), F.max(F.when((last > 0) & (2 * last >= F.col("size")), rank)).alias("__end"))
+    skey, whole_col, end, passes, one_pass = (free_name(docs, n) for n in ("__skey", "__whole", "__end", "__passes", "__pass"))
+    ends = placed.groupBy(source_key("source").alias(skey)).agg(F.max(whole).alias(whole_col), F.max(F.when((last > 0) & (2 * last >= F.col("size")), rank)).alias(end))
     ends = materialize(ends, "mix-ends")
     if ends.count() <= most_sources:
         ends = F.broadcast(ends)
     own = F.struct(mix_key(seed, id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), word_count(text_col))
-    rows = docs.withColumn("__skey", source_key(source_col)).join(ends, "__skey")
-    passes = F.col("__whole") + F.when(F.col("__end").isNotNull() & (own <= F.col("__end")) & (word_count(text_col) > 0), 1).otherwise(0)
-    rows = rows.withColumn("__passes", passes.cast("int")).filter("__passes > 0")
-    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)
+    rows = docs.withColumn(skey, source_key(source_col)).join(ends, skey)
+    count = F.col(whole_col) + F.when(F.col(end).isNotNull() & (own <= F.col(end)) & (word_count(text_col) > 0), 1).otherwise(0)
+    rows = rows.withColumn(passes, count.cast("int")).filter(F.col(passes) > 0)
+    return rows.withColumn(one_pass, F.explode(F.sequence(F.lit(1), F.col(passes)))).select(*docs.columns)

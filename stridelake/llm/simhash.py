@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_input, importable, materialize, text_bytes
+from .common import arrow_input, free_name, importable, materialize, text_bytes
 from .components import connected_components
 
 #: Segments of a fingerprint, in a ring, and their bits.
@@ -90,20 +90,22 @@ def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for it at most once.
     """
     columns = docs.columns
-    named = docs.withColumnRenamed("fp", "__fp")
+    kept_fp, flag, number = (free_name(docs, n) for n in ("__fp", "__null", "__id"))
+    named = docs.withColumnRenamed("fp", kept_fp)
     printed = materialize(fingerprints(named, text_col=text_col, carry=named.columns), "printed")
     keys = near_duplicates(printed.select("doc_id", "fp")).groupBy("doc_id", "fp", "root").agg(F.count("*").alias("n"))
     keys = materialize(keys, "print-keys")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"))
     keys = keys.join(keys.groupBy("root").agg(F.min(rank).alias("first")), "root").withColumn("wins", rank == F.col("first"))
     no_id = F.lit(-(1 << 63))  # stands for null in the join, beside a flag
-    key = [F.coalesce("doc_id", no_id).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("fp")]
+    key = [F.coalesce("doc_id", no_id).alias(number), F.col("doc_id").isNull().alias(flag), F.col("fp")]
     lost = keys.filter("NOT wins OR n > 1").select(*key)
     again = keys.filter("wins AND n > 1").select(*key)
     rows = printed.select("*", *key[:2])
-    once = rows.join(lost, ["__id", "__null", "fp"], "left_anti")
-    first = rows.join(again, ["__id", "__null", "fp"], "left_semi").dropDuplicates(["__id", "__null", "fp"])
-    return once.unionByName(first).select(*("__fp" if c == "fp" else c for c in columns)).toDF(*columns)
+    on = [number, flag, "fp"]
+    once = rows.join(lost, on, "left_anti")
+    first = rows.join(again, on, "left_semi").dropDuplicates(on)
+    return once.unionByName(first).select(*(kept_fp if c == "fp" else c for c in columns)).toDF(*columns)
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -66,6 +66,7 @@ def test_documents_are_repeated(spark):
     got = defaultdict(int)
     for r in out.collect():
         got[r.doc_id] += 1
+        assert r["__pass"] == "kept"
     for i, _, n, _, _, taken in plain(ROWS):
         if i not in (7,) and n:
             assert got[i] == taken // n + (2 * (taken % n) >= n and taken % n > 0)
