@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stridelake.llm import mixing, packing, quality, simhash, toxicity
@@ -9,25 +11,39 @@ from stridelake.llm.common import importable, materialize
 from stridelake.llm.queries import tokenizer_files
 
 
+NEEDED = ("doc_id", "text", "lang", "source")
+
+
+def _shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with names that no operator makes for all columns that none needs, and what gives the names back."""
+    names = docs.columns
+    inner = docs.toDF(*(c if c in NEEDED else f"column_{k}" for k, c in enumerate(names)))
+    return inner, lambda out: out.select(*inner.columns).toDF(*names)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose compression distance says they are not toxic."""
     model = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(docs, model, carry=docs.columns).filter("predicted = 0").select(*docs.columns)
+    inner, named = _shielded(docs)
+    return named(toxicity.score_toxicity(inner, model).filter("predicted = 0"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the compression bands."""
-    return quality.score_quality(docs, carry=docs.columns).filter("kept").select(*docs.columns)
+    inner, named = _shielded(docs)
+    return named(quality.score_quality(inner).filter("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    inner, named = _shielded(docs)
+    return named(simhash.keep_one(inner))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document."""
-    return mixing.mix_documents(docs)
+    inner, named = _shielded(docs)
+    return named(mixing.mix_documents(inner))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
