@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Errors, NdError
 from ..functions.index import checked_size, normalized, ravel, strides, unravel
+from ..sources.blocks import summarize, transform_file
 from ..sources.catalog import read_properties
 from ..sources.npy_source import read_npy
 from ..sources.sink import save_npy
@@ -26,10 +27,12 @@ class NDFrame:
     fortran_order: bool = False
     #: Gives the items from a first to before a last one, where a reader can start there.
     ranged: Callable[[int, int], DataFrame] | None = None
+    #: The file whose items these are, unchanged.
+    path: str | None = None
 
     def _derive(self, f: Callable[[DataFrame], DataFrame]) -> NDFrame:
         ranged = self.ranged
-        return replace(self, items=f(self.items), ranged=(lambda b, e: f(ranged(b, e))) if ranged else None)
+        return replace(self, items=f(self.items), ranged=(lambda b, e: f(ranged(b, e))) if ranged else None, path=None)
 
     def between(self, begin: int, end: int) -> DataFrame:
         """Items begin to before end; a file is read from there only."""
@@ -42,7 +45,7 @@ class NDFrame:
     @classmethod
     def load(cls, spark: SparkSession, path: str, **options) -> NDFrame:
         header = read_properties(path)
-        return cls(read_npy(spark, path, "items", **options), header.shape, header.fortran_order, lambda b, e: read_npy(spark, path, "items", begin=b, end=e, **options))
+        return cls(read_npy(spark, path, "items", **options), header.shape, header.fortran_order, lambda b, e: read_npy(spark, path, "items", begin=b, end=e, **options), path)
 
     @classmethod
     def full(cls, spark: SparkSession, shape: Sequence[int], value: Column | float = 0.0, fortran_order: bool = False) -> NDFrame:
@@ -154,11 +157,37 @@ class NDFrame:
 
     # Aggregates
 
+    def _summary(self) -> Row | None:
+        """Partial aggregates of the file's blocks, for plain numbers that nothing has changed."""
+        kind = self.dtype.simpleString()
+        if not self.path or kind not in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal(20,0)"):
+            return None
+        return summarize(self.items.sparkSession, self.path).first()
+
     def max(self, skip_nan: bool = False):
         """The largest value, null for an array without items. NaN is the greatest unless skipped."""
+        if found := self._summary():
+            if found["n_nan"] and not skip_nan:
+                return float("nan")
+            return found["high"] if found["high"] is None or isinstance(found["high"], float) else int(found["high"])
         rows = self.items.filter(~F.isnan("value")) if skip_nan else self.items
         return rows.agg(F.max("value")).first()[0]
 
+    def sum(self):
+        """The sum of all values, exact for integers; null for an array without items."""
+        if found := self._summary():
+            if found["n_nan"]:
+                return float("nan")
+            return found["total"] if found["total"] is None or isinstance(found["total"], float) else int(found["total"])
+        return self.items.agg(F.sum("value")).first()[0]
+
+    def apply_blocks(self, f, target: str, typestr: str | None = None, overwrite: bool = False) -> NDFrame:
+        """apply for whole files: f maps NumPy blocks, and the result is the file target, loaded."""
+        if not self.path:
+            raise NdError(Errors.unavailable, "blocks are those of a file; save the array first")
+        spark = self.items.sparkSession
+        return NDFrame.load(spark, transform_file(spark, self.path, target, f, typestr, overwrite))
+
     def fold(self, aggregate: Callable[[Column], Column]):
         """An order-free fold: any aggregate of the value column."""
         return self.items.agg(aggregate(F.col("value"))).first()[0]
@@ -177,7 +206,7 @@ class NDFrame:
         """The same items in storage order under another shape of the same size (else NdError 601). No rows move."""
         if checked_size(shape) != self.size:
             raise NdError(Errors.invalid_value, f"{self.shape} has {self.size} items, {shape} has {checked_size(shape)}")
-        return replace(self, shape=tuple(shape))
+        return replace(self, shape=tuple(shape))  # what is known of the file holds for any shape
 
     def rows(self) -> DataFrame:
         """(i0, values): the items of each index of the first axis, in row-major order."""

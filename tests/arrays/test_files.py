@@ -234,6 +234,30 @@ def test_shards(spark, tmp_path):
     assert sorted(r.value for r in read_npy(spark, folder).collect()) == list(range(100))
 
 
+def test_blocks(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    for t in ("|i1", "|u1", "<i2", ">i4", "<i8", "<u8", "<f4", ">f8"):
+        x = rng.integers(0, 2, 3001).astype(t) if t in ("|i1",) else np.frombuffer(rng.bytes(3001 * np.dtype(t).itemsize), t) if t[1] != "f" else rng.normal(size=3001).astype(t)
+        frame = NDFrame.load(spark, save(tmp_path, "b.npy", x))
+        from stridelake.sources.blocks import summarize
+
+        row = summarize(spark, frame.path, 1000).first()
+        assert (row.n, row.n_nan) == (3001, 0) and float(row.low) == float(x.min()) and float(row.high) == float(x.max())
+        assert row.total == sum(x.tolist()) if t[1] != "f" else np.isclose(row.total, x.astype(float).sum())
+        assert frame.max() == x.max().item() and (t[1] == "f" or frame.sum() == sum(x.tolist()))
+    frame = NDFrame.load(spark, save(tmp_path, "n.npy", np.array([[1.0, np.nan], [3.0, np.inf]])))
+    assert np.isnan(frame.sum()) and np.isnan(frame.max()) and frame.max(skip_nan=True) == np.inf
+    assert NDFrame.load(spark, save(tmp_path, "z.npy", np.zeros((0, 2)))).sum() is None
+    swapped = NDFrame.load(spark, save(tmp_path, "s.npy", np.arange(12.0).reshape(3, 4))).apply_blocks(lambda v: v.byteswap(), str(tmp_path / "t.npy"))
+    assert np.load(swapped.path).byteswap().tolist() == np.arange(12.0).reshape(3, 4).tolist()
+    half = swapped.apply_blocks(lambda v: v.byteswap() / 2, str(tmp_path / "h.npy"), typestr="<f4")
+    assert np.load(half.path).dtype == "<f4" and half.value(2, 3) == 5.5
+    with pytest.raises(NdError, match="unavailable"):
+        half.apply(lambda v: v).apply_blocks(lambda v: v, "x")
+    with pytest.raises(Exception, match="item_size_mismatch"):
+        half.apply_blocks(lambda v: v[1:], str(tmp_path / "bad.npy"))
+
+
 def test_archives(spark, tmp_path):
     one, two = (spark.range(n).selectExpr("id as flat_index", "id as value") for n in (3, 4))
     path = save_npz(str(tmp_path / "a.npz"), {"one": one, "two": two})

@@ -55,7 +55,7 @@ def test_masks():
 def test_code_points(spark):
     texts = ["", "abc", "añ🙂", "퟿\U0010ffff"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    rows = df.select(text.to_ucs4("t" if False else F.col("t")).alias("p"), text.from_ucs4_bytes(text.ucs4_bytes(F.col("t"))).alias("le"), text.from_ucs4_bytes(text.ucs4_bytes(F.col("t"), True), True).alias("be")).collect()
+    rows = df.select(text.to_ucs4(F.col("t")).alias("p"), text.from_ucs4_bytes(text.ucs4_bytes(F.col("t"))).alias("le"), text.from_ucs4_bytes(text.ucs4_bytes(F.col("t"), True), True).alias("be")).collect()
     for t, r in zip(texts, rows):
         assert r.p == list(map(ord, t)) and r.le == t and r.be == t
     with pytest.raises(Exception, match="invalid_value"):
