@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,18 +33,23 @@ class View:
 VIEWS = (View(60, 16), View(100, 4), View(160, 4), View(220, 16), View(160, 16, zstandard.STRATEGY_LAZY2))
 
 
+def _spaced(data: bytes) -> bytes:
+    """A text with one space for each run of white space, and one at both ends; b" " if there are no words."""
+    words = data.split()
+    return b" " + b" ".join(words) + b" " if words else b" "
+
+
+def _cut(spaced: bytes, size: int) -> Iterator[bytes]:
+    at, last = 0, len(spaced) - 1
+    while at < last:
+        end = spaced.find(b" ", min(at + size, last))
+        yield spaced[at : end + 1]
+        at = end
+
+
 def windows(data: bytes, size: int) -> list[bytes]:
     """All of a text, cut at white space once a window has size bytes; white space becomes one space."""
-    out, held, n = [], [], 0
-    for word in data.split():
-        held.append(word)
-        n += len(word) + 1
-        if n >= size:
-            out.append(b" " + b" ".join(held) + b" ")
-            held, n = [], 0
-    if held:
-        out.append(b" " + b" ".join(held) + b" ")
-    return out
+    return list(_cut(_spaced(data), size))
 
 
 def _terms(data: bytes) -> set[bytes]:
@@ -54,45 +59,51 @@ def _terms(data: bytes) -> set[bytes]:
 def peculiar_terms(toxic: list[bytes], ordinary: list[bytes], least: int, times: float) -> list[bytes]:
     """Terms that are in at least ``least`` toxic texts and ``times`` as frequent there, the rarest first.
 
-    Copies and near copies, which have the same smallest hash of a term nearly always, count as one text.
+    Copies and near copies, which have the same smallest hash of a term nearly always, count as one text. Only terms
+    that are in enough toxic texts are looked for in the ordinary ones.
     """
 
-    def frequencies(texts: list[bytes]) -> tuple[dict[bytes, int], int]:
+    def frequencies(texts: list[bytes], wanted: set[bytes]) -> tuple[dict[bytes, int], int]:
         groups: dict[bytes, set[int]] = defaultdict(set)
+        every = set()
         for text in texts:
             terms = _terms(text)
             least_hash = min(map(zlib.crc32, terms), default=0)
-            for t in terms:
+            every.add(least_hash)
+            for t in terms & wanted:
                 groups[t].add(least_hash)
-        return {t: len(g) for t, g in groups.items()}, max(1, len(set().union(*groups.values())) if groups else 1)
+        return {t: len(g) for t, g in groups.items()}, max(1, len(every))
 
-    bad, n_bad = frequencies(toxic)
-    fine, n_fine = frequencies(ordinary)
-    found = sorted((n, t) for t, n in bad.items() if n >= least and n / n_bad > times * (fine.get(t, 0) + 0.3) / n_fine)
-    return [t for _, t in found]
+    seen = Counter(t for text in toxic for t in _terms(text))
+    bad, n_bad = frequencies(toxic, {t for t, n in seen.items() if n >= least})
+    bad = {t: n for t, n in bad.items() if n >= least}
+    fine, n_fine = frequencies(ordinary, set(bad))
+    return [t for n, t in sorted((n, t) for t, n in bad.items()) if n / n_bad > times * (fine.get(t, 0) + 0.3) / n_fine]
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], base_kb: int, seed: int = 7) -> tuple[bytes, bytes]:
-    """Dictionaries of ordinary and of toxic text, of equal size.
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], sizes_kb: list[int], seed: int = 7) -> list[tuple[bytes, bytes]]:
+    """For each size of base a dictionary of ordinary and one of toxic text, of equal size.
 
     Both have the entropy tables and the base that zstandard trains on ordinary text, so that they differ in their
     last part only: more ordinary text against what is peculiar to toxic text, where offsets are shortest. A
     window's two lengths then differ by what the toxic part saves and by little else.
     """
-    rng = random.Random(seed)
     terms = peculiar_terms(toxic, ordinary, max(2, min(5, len(toxic) // 60)), 10.0)
     own = (b" " + b" ".join(terms) + b" ")[-(48 << 10) :]
     pieces = [w for x in ordinary for w in windows(x, 160)]
-    rng.shuffle(pieces)
+    random.Random(seed).shuffle(pieces)
     filler = b" ".join(pieces[-(len(own) // 160 + 2) :])[: len(own)].ljust(len(own), b" ")
-    try:
-        base = zstandard.train_dictionary(base_kb << 10, pieces[:15000]).as_bytes()
-        if _REPEATS not in base:
+    made = {}
+    for kb in set(sizes_kb):
+        try:
+            base = zstandard.train_dictionary(kb << 10, pieces[:15000]).as_bytes()
+            if _REPEATS not in base:
+                base = b""
+        except zstandard.ZstdError:  # too little text
             base = b""
-    except zstandard.ZstdError:  # too little text
-        base = b""
-    base = base or b"".join(pieces)[: base_kb << 10]
-    return base + filler, base + own
+        base = base or b"".join(pieces)[: kb << 10]
+        made[kb] = base + filler, base + own
+    return [made[kb] for kb in sizes_kb]
 
 
 class Distances:
@@ -111,15 +122,30 @@ class Distances:
                 made.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d).compress)
             self.pairs.append(made)
 
-    def features(self, data: bytes) -> list[float]:
-        data, out = data.lower(), []
-        for view, (fine, bad) in zip(self.views, self.pairs):
-            d = np.array([len(fine(w)) - len(bad(w)) for w in windows(data, view.window)] or [0])
-            top = np.sort(d)[:-4:-1]
-            stats = [*top, *[0] * (3 - len(top)), d.sum(), np.maximum(d - 1, 0).sum(), (d >= 2).sum(), (d >= 3).sum(), (d <= -2).sum()]
-            n = max(1.0, len(data) / view.window)
-            out += [*map(float, stats), *(s / n for s in stats), *(np.log1p(max(0.0, s)) for s in stats), np.log(n), 1 / n]
-        return out + [1.0]
+    def features(self, texts: Iterable[bytes]) -> np.ndarray:
+        """A row per text: for each view the three largest differences, sums and counts, whole and per window."""
+        found: list[list[int]] = [[] for _ in self.views]
+        counts: list[list[int]] = [[] for _ in self.views]
+        sizes = []
+        for data in texts:
+            sizes.append(len(data))
+            spaced = _spaced(data.lower())
+            for view, (fine, bad), d, n in zip(self.views, self.pairs, found, counts):
+                before = len(d)
+                d += [len(fine(w)) - len(bad(w)) for w in _cut(spaced, view.window)] or [0]
+                n.append(len(d) - before)
+        if not sizes:
+            return np.zeros((0, 0))
+        columns = []
+        for view, d, n in zip(self.views, found, counts):
+            d, n = np.array(d), np.array(n)
+            starts = np.cumsum(n) - n
+            falling = d[np.lexsort((-d, np.repeat(np.arange(len(n)), n)))]
+            top = [np.where(n > k, falling[np.minimum(starts + k, len(d) - 1)], 0) for k in range(3)]
+            stats = np.array([*top, *(np.add.reduceat(x, starts) for x in (d, np.maximum(d - 1, 0), (d >= 2) * 1, (d >= 3) * 1, (d <= -2) * 1))], float)
+            share = np.maximum(1.0, np.array(sizes) / view.window)
+            columns += [*stats, *(stats / share), *np.log1p(np.maximum(0.0, stats)), np.log(share), 1 / share]
+        return np.array([*columns, np.ones(len(sizes))]).T
 
 
 @dataclass(frozen=True)
@@ -158,11 +184,11 @@ def _feature_rows(docs: DataFrame, carry: list[str], text_col: str, dictionaries
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(dictionaries, views)
         for batch in batches:
-            rows = [distances.features(t) for t in text_bytes(batch.column(at))]
+            x = distances.features(text_bytes(batch.column(at)))
             if model is None:
-                made = pa.array(rows, pa.list_(pa.float64()))
+                made = pa.array(list(x), pa.list_(pa.float64()))
             else:
-                made = pa.array(model.score(np.array(rows)) if rows else [], pa.float64())
+                made = pa.array(model.score(x) if len(x) else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], made], names=[*carry, "x"])
 
     return docs.mapInArrow(run, ddl + (", x array<double>" if model is None else ", x double"))
@@ -189,7 +215,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int]
     if not all(texts):
         return None
     for_terms = [t[: max(1, int(len(t) * dictionary_share))] for t in texts]
-    dictionaries = [train_dictionaries(for_terms[1], for_terms[0], v.base_kb) for v in views]
+    dictionaries = train_dictionaries(for_terms[1], for_terms[0], [v.base_kb for v in views])
     seen = {y: len(t) for y, t in enumerate(for_terms)}
     at, sample = [0, 0], []
     for _, y, t in rows:
