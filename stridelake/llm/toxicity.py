@@ -19,6 +19,7 @@ from .common import arrow_input, held_out, importable, text_bytes
 #: The three start values of zstandard's repeated offsets, which end the header of a trained dictionary: fixed values.
 _REPEATS = (1).to_bytes(4, "little") + (4).to_bytes(4, "little") + (8).to_bytes(4, "little")
 _EDGES = b".,!?;:*#%&$\"'()"
+_STEMS = (4, 5, 6, 7)
 
 
 @dataclass(frozen=True)
@@ -53,32 +54,41 @@ def windows(data: bytes, size: int) -> list[bytes]:
 
 
 def _terms(data: bytes) -> set[bytes]:
-    return {t for w in data.split() if len(t := w.strip(_EDGES)) >= 3}
+    """Words without edges of punctuation, and their beginnings, as one stem takes many endings."""
+    words = {t for w in data.split() if len(t := w.strip(_EDGES)) >= 3}
+    return words | {w[:k] for w in words for k in _STEMS if len(w) > k}
 
 
-def peculiar_terms(toxic: list[bytes], ordinary: list[bytes], least: int, times: float) -> list[bytes]:
-    """Terms that are in at least ``least`` toxic texts and ``times`` as frequent there, the rarest first.
+def peculiar_terms(toxic: list[bytes], ordinary: list[bytes], share: float = 0.07, times: float = 10.0) -> list[bytes]:
+    """Terms that are in at least ``share`` of the toxic texts and ``times`` as frequent there, the rarest first.
 
-    Copies and near copies, which have the same smallest hash of a term nearly always, count as one text. Only terms
-    that are in enough toxic texts are looked for in the ordinary ones.
+    Copies and near copies count as one text: they agree in the smallest of their terms' hashes nearly always, and of
+    three hash functions the one that finds the fewest texts counts. Only terms that are in enough toxic texts are
+    looked for in the ordinary ones.
     """
 
     def frequencies(texts: list[bytes], wanted: set[bytes]) -> tuple[dict[bytes, int], int]:
-        groups: dict[bytes, set[int]] = defaultdict(set)
-        every = set()
+        groups: dict[bytes, list[set[int]]] = defaultdict(lambda: [set(), set(), set()])
+        every: list[set[int]] = [set(), set(), set()]
         for text in texts:
             terms = _terms(text)
-            least_hash = min(map(zlib.crc32, terms), default=0)
-            every.add(least_hash)
+            least = [min((zlib.crc32(t, k) for t in terms), default=0) for k in (0, 1, 2)]
             for t in terms & wanted:
-                groups[t].add(least_hash)
-        return {t: len(g) for t, g in groups.items()}, max(1, len(every))
+                for g, h in zip(groups[t], least):
+                    g.add(h)
+            for g, h in zip(every, least):
+                g.add(h)
+        return {t: min(map(len, g)) for t, g in groups.items()}, max(1, min(map(len, every)))
 
     seen = Counter(t for text in toxic for t in _terms(text))
-    bad, n_bad = frequencies(toxic, {t for t, n in seen.items() if n >= least})
-    bad = {t: n for t, n in bad.items() if n >= least}
+    bad, n_bad = frequencies(toxic, {t for t, n in seen.items() if n >= 3})
+    bad = {t: n for t, n in bad.items() if n >= max(3, share * n_bad)}
     fine, n_fine = frequencies(ordinary, set(bad))
-    return [t for n, t in sorted((n, t) for t, n in bad.items()) if n / n_bad > times * (fine.get(t, 0) + 0.3) / n_fine]
+    bad = {t: n for t, n in bad.items() if n / n_bad > times * (fine.get(t, 0) + 0.3) / n_fine}
+    # Of a stem and its words the dictionary needs one: the longest that is nearly as frequent as what it begins with.
+    stems = {t for t, n in bad.items() if any(u != t and u.startswith(t) and 5 * m >= 4 * n for u, m in bad.items())}
+    words = {t for t, n in bad.items() if any(u != t and t.startswith(u) and 2 * n < m for u, m in bad.items())}
+    return [t for n, t in sorted((n, t) for t, n in bad.items() if t not in stems and t not in words)]
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], sizes_kb: list[int], seed: int = 7) -> list[tuple[bytes, bytes]]:
@@ -88,7 +98,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], sizes_kb: list
     last part only: more ordinary text against what is peculiar to toxic text, where offsets are shortest. A
     window's two lengths then differ by what the toxic part saves and by little else.
     """
-    terms = peculiar_terms(toxic, ordinary, max(2, min(5, len(toxic) // 60)), 10.0)
+    terms = peculiar_terms(toxic, ordinary)
     own = (b" " + b" ".join(terms) + b" ")[-(48 << 10) :]
     pieces = [w for x in ordinary for w in windows(x, 160)]
     random.Random(seed).shuffle(pieces)
