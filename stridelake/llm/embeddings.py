@@ -77,7 +77,8 @@ def class_rows(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def key_rows(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(class, keys): the integer keys of each class, a key for each table from bits of rotated signs of its own."""
+    """(class, keys, code, factor): the integer keys of each class, a key for each table from bits of rotated signs of
+    its own, and the binary code under another rotation with its correction factor."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
@@ -87,15 +88,18 @@ def key_rows(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             data = batch.column(1).to_pylist()
             for row, d in enumerate(data):
                 by_dims.setdefault(len(d) // 8, []).append(row)
-            keys = np.zeros((len(data), tables), np.int64)
+            keys, codes, factor = np.zeros((len(data), tables), np.int64), [b""] * len(data), np.zeros(len(data))
             for dims, rows in by_dims.items():
                 if dims not in turns:
-                    turns[dims] = _rotations(dims, bits * tables)
+                    turns[dims] = _rotations(dims, bits * tables), rotation(dims, 0)
                 x = np.frombuffer(b"".join(data[r] for r in rows)).reshape(-1, dims)
-                keys[rows] = ((x @ turns[dims].T >= 0).reshape(len(rows), tables, bits) @ places) ^ (dims << 40)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["class", "keys"])
+                keys[rows] = ((x @ turns[dims][0].T >= 0).reshape(len(rows), tables, bits) @ places) ^ (dims << 40)
+                _, signs, factor[rows] = encode(x / np.linalg.norm(x, axis=1, keepdims=True), turns[dims][1])
+                for r, packed in zip(rows, np.packbits(signs, axis=1)):
+                    codes[r] = packed.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64())), pa.array(codes, pa.binary()), pa.array(factor)], names=["class", "keys", "code", "factor"])
 
-    return classes.select("class", "vector").mapInArrow(run, "class binary, keys array<long>")
+    return classes.select("class", "vector").mapInArrow(run, "class binary, keys array<long>, code binary, factor double")
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -110,8 +114,16 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Rows of a binary column whose values have one length, as a matrix."""
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(n, -1)
+
+
 def compare_units(units: DataFrame, cosine: float, sigmas: float) -> DataFrame:
-    """(class, links, other) from units, rows (unit, block, table, class, copies, keys, vector) sorted by unit.
+    """(class, links, other) from units, rows (table, key, i, j, block, class, copies, keys, code, factor, vector)
+    sorted by the first four, which name the unit.
 
     A unit holds one or two blocks of a bucket. For every class, links is the number of vectors of other classes
     that it links with in this unit and with which it shares no key of an earlier table, so that each pair counts
@@ -119,48 +131,60 @@ def compare_units(units: DataFrame, cosine: float, sigmas: float) -> DataFrame:
     upper bound on the estimate is below the limit are not computed; all others are, in double precision.
     """
 
-    def compare(rows: list[dict]) -> tuple[list, list, list]:
-        ids = [r["class"] for r in rows]
-        x = np.array([np.frombuffer(r["vector"]) for r in rows])
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        block = np.array([r["block"] for r in rows])
-        keys, table = np.array([r["keys"] for r in rows]), rows[0]["table"]
-        copies = np.array([r["copies"] for r in rows])
-        turned, signs, factors = encode(x, rotation(x.shape[1], 0))
-        value, half = estimate(signs, factors, turned, sigmas)
-        maybe = np.triu(value + half >= cosine, 1)
-        if block.min() != block.max():  # pairs within a block belong to the unit of that block alone
-            maybe &= block[:, None] != block[None, :]
-        a, b = np.nonzero(maybe)
-        exact = np.zeros(len(a), bool)
-        for at in range(0, len(a), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            exact[part] = np.einsum("ij,ij->i", x[a[part]], x[b[part]]) >= cosine
-        a, b = a[exact], b[exact]
-        first = np.ones(len(a), bool)
-        for t in range(table):
-            first &= keys[a, t] != keys[b, t]
-        links = np.bincount(a[first], copies[b[first]], len(rows)) + np.bincount(b[first], copies[a[first]], len(rows))
-        linked = np.zeros((len(rows), len(rows)), bool)
-        linked[a, b] = linked[b, a] = True
-        root = _forest(linked)
-        keep = np.nonzero(linked.any(1))[0]
-        return [ids[k] for k in keep], links[keep].astype(np.int64).tolist(), [ids[root[k]] for k in keep]
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows):
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(compare(rows), (pa.binary(), pa.int64(), pa.binary()))], names=["class", "links", "other"])
+        turns: dict[int, np.ndarray] = {}
 
-        held: list[dict] = []
+        def compare(unit: pa.RecordBatch) -> pa.RecordBatch | None:
+            n = unit.num_rows
+            x = _matrix(unit.column("vector"), "<f8")
+            dims = x.shape[1]
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            if dims not in turns:
+                turns[dims] = rotation(dims, 0)
+            signs = np.unpackbits(_matrix(unit.column("code"), "u1"), axis=1, count=dims).astype(bool)
+            value, half = estimate(signs, unit.column("factor").to_numpy(), x @ turns[dims].T, sigmas)
+            maybe = np.triu(value + half >= cosine, 1)
+            block = unit.column("block").to_numpy()
+            if block.min() != block.max():  # pairs within a block belong to the unit of that block alone
+                maybe &= block[:, None] != block[None, :]
+            a, b = np.nonzero(maybe)
+            exact = np.zeros(len(a), bool)
+            for at in range(0, len(a), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                exact[part] = np.einsum("ij,ij->i", x[a[part]], x[b[part]]) >= cosine
+            a, b = a[exact], b[exact]
+            if not len(a):
+                return None
+            keys, copies = unit.column("keys").flatten().to_numpy().reshape(n, -1), unit.column("copies").to_numpy()
+            first = np.ones(len(a), bool)
+            for t in range(unit.column("table")[0].as_py()):
+                first &= keys[a, t] != keys[b, t]
+            links = np.bincount(a[first], copies[b[first]], n) + np.bincount(b[first], copies[a[first]], n)
+            linked = np.zeros((n, n), bool)
+            linked[a, b] = linked[b, a] = True
+            keep = pa.array(np.nonzero(linked.any(1))[0])
+            names = unit.column("class")
+            return pa.RecordBatch.from_arrays([names.take(keep), pa.array(links[keep.to_numpy()].astype(np.int64)), names.take(pa.array(_forest(linked)[keep.to_numpy()]))], names=["class", "links", "other"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["unit"] != held[0]["unit"]:
-                    if len(held) > 1:
-                        yield emit(held)
+            name = np.stack([batch.column(c).to_numpy() for c in ("table", "key", "i", "j")], 1)
+            if not len(name):
+                continue
+            edges = [0, *(np.nonzero((name[1:] != name[:-1]).any(1))[0] + 1).tolist(), len(name)]
+            for begin, end in zip(edges, edges[1:]):
+                if last is not None and (name[begin] != last).any():
+                    whole = held[0] if len(held) == 1 else pa.concat_batches(held)
+                    if whole.num_rows > 1 and (out := compare(whole)) is not None:
+                        yield out
                     held = []
-                held.append(row)
-        if len(held) > 1:
-            yield emit(held)
+                held.append(batch.slice(begin, end - begin))
+                last = name[begin]
+        if held:
+            whole = held[0] if len(held) == 1 else pa.concat_batches(held)
+            if whole.num_rows > 1 and (out := compare(whole)) is not None:
+                yield out
 
     return units.mapInArrow(run, "class binary, links long, other binary")
 
@@ -191,11 +215,12 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float
     sizes = met.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     met = met.join(sizes, ["table", "key"]).withColumn("block", F.pmod(F.xxhash64("class", "table"), F.col("blocks")).cast("int"))
     met = met.select("class", "table", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with_block"))
-    met = met.select("class", "table", "block", F.struct("table", "key", F.least("block", "with_block").alias("i"), F.greatest("block", "with_block").alias("j")).alias("unit"))
+    met = met.select("class", "table", "key", F.least("block", "with_block").alias("i"), F.greatest("block", "with_block").alias("j"), "block")
     full = met.join(classes.select("class", "copies", "vector").join(keyed, "class"), "class")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(classes.count() * tables / 20_000))
-    units = full.repartition(parts, "unit").sortWithinPartitions("unit")
-    found = materialize(compare_units(units.select("unit", "block", "table", "class", "copies", "keys", "vector"), cosine, sigmas), "vector-links")
+    unit = ["table", "key", "i", "j"]
+    units = full.repartition(parts, *unit).sortWithinPartitions(*unit)
+    found = materialize(compare_units(units.select(*unit, "block", "class", "copies", "keys", "code", "factor", "vector"), cosine, sigmas), "vector-links")
 
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("class").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "class")
