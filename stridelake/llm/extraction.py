@@ -21,6 +21,8 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that can be part of a template within an article.
+INNER = BLOCK - frozenset("body br caption dd dt h1 h2 h3 h4 h5 h6 hr html li option tbody td tfoot th thead tr".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS_SELF = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 
@@ -188,51 +190,76 @@ def content_roots(root: Element) -> list[Element]:
     return [root]
 
 
-def template_candidates(root: Element) -> set[bytes]:
-    """Digests of subtrees with text that may be part of a site's template: all that lie outside the article.
+def _inside(digest: bytes) -> bytes:
+    """What a subtree within an article is counted as: apart from equal ones outside articles."""
+    return b"\1" + digest
 
-    The passages of an article may recur in the articles of other pages, so they are no candidates; on a page without
-    article or main element everything below the body is one. Subtrees that rules drop anyway are counted too, but
-    not their parts.
+
+def template_candidates(root: Element) -> tuple[set[bytes], set[bytes]]:
+    """Digests of subtrees with text that may be part of a site's template: those outside articles, those within.
+
+    On a page without article or main element everything below the body is outside. Outside, subtrees that rules drop
+    anyway are counted too, but not their parts. Within an article the blocks that rules keep count, but no headings,
+    cells, list items and inline elements, as single words and numbers recur in any text.
     """
     roots = content_roots(root)
-    inside = set() if roots == [root] else {id(r) for r in roots}
-    out, todo = set(), [root]
+    articles = set() if roots == [root] else {id(r) for r in roots}
+    outside, todo = set(), [root]
     while todo:
         node = todo.pop()
         for c in node.children:
-            if isinstance(c, str) or id(c) in inside or not c.text_size:
+            if isinstance(c, str) or id(c) in articles or not c.text_size:
                 continue
             if c.tag not in ("html", "body", "head"):
-                out.add(c.digest)
+                outside.add(c.digest)
             if not is_boilerplate(c, False):
                 todo.append(c)
-    return out
+    within = {n.digest for top in roots if articles for n, _ in _walk(top, True) if n is not top and n.text_size and n.tag in INNER}
+    return outside, within
 
 
 def main_text(root: Element, templates: frozenset[bytes] | set[bytes] = frozenset()) -> str:
-    """Text of the content roots without boilerplate and without template subtrees outside articles."""
-    parts: list[str] = []
+    """Text of the content roots without boilerplate and without template subtrees.
+
+    Template subtrees that would take half of an article's text or more are what copies of it share, and stay.
+    """
+    out: list[str] = []
     for top in content_roots(root):
-        spared = top is not root
-        todo: list = [(top, spared)]
-        while todo:
-            node, inside = todo.pop()
-            if isinstance(node, str):
-                parts.append(node)
+        parts, lost = _text_parts(top, top is not root, templates)
+        kept = sum(len(w) for x in parts for w in x.split()) if lost else 1
+        if top is not root and kept <= lost:
+            parts, _ = _text_parts(top, top is not root, frozenset())
+        out += [*parts, " "]
+    return " ".join("".join(out).split())
+
+
+def _text_parts(top: Element, in_article: bool, templates: frozenset[bytes] | set[bytes]) -> tuple[list[str], int]:
+    """Texts below top in page order, and the characters that templates took."""
+    parts: list[str] = []
+    todo: list = [(top, in_article)]
+    lost = 0
+    while todo:
+        node, inside = todo.pop()
+        if isinstance(node, str):
+            parts.append(node)
+            continue
+        if node.tag in BLOCK:
+            parts.append(" ")
+            todo.append((" ", inside))
+        below = inside or _is_article(node)
+        for c in reversed(node.children):
+            if isinstance(c, str):
+                todo.append((c, below))
                 continue
-            block = node.tag in BLOCK
-            if block:
-                parts.append(" ")
-                todo.append((" ", inside))
-            below = inside or _is_article(node)
-            for c in reversed(node.children):
-                if isinstance(c, str) or not (is_boilerplate(c, below) or (not below and c.digest in templates)):
-                    todo.append((c, below))
-                elif c.tag in BLOCK:
-                    todo.append((" ", below))
-        parts.append(" ")
-    return " ".join("".join(parts).split())
+            dropped = is_boilerplate(c, below)
+            if not dropped and templates and (_inside(c.digest) if below else c.digest) in templates:
+                dropped = True
+                lost += c.text_size
+            if not dropped:
+                todo.append((c, below))
+            elif c.tag in BLOCK:
+                todo.append((" ", below))
+    return parts, lost
 
 
 def host_of(url_col: str = "url") -> Column:
@@ -240,27 +267,43 @@ def host_of(url_col: str = "url") -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, min_pages: int = 10, share: float = 0.1, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, templates): 8-byte digests of the subtrees that at least min_pages pages and that share of a host's have.
+def _subtrees(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(host, digest, copy, page) for each candidate of each page that has a host.
 
-    Every page names each of its digests once, and counts are pre-aggregated before they are shuffled by host and
-    digest. A host keeps at most (candidates of a page) / share digests. Pages without a host have no templates.
+    copy is equal for pages of which the tree, or for subtrees within articles the articles, are equal; page is a hash
+    of the html.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, digests = [], []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = template_candidates(parse(source.as_py()))
-                hosts += [host] * (len(found) + 1)
-                digests += [*found, b""]  # the last counts the pages
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary())], names=["host", "digest"])
+            hosts, digests, copies, numbers = [], [], [], []
+            for host, source, number in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                root = parse(source.as_py())
+                outside, within = template_candidates(root)
+                article = hashlib.blake2b(b"".join(r.digest for r in content_roots(root)), digest_size=8).digest()
+                n = len(outside) + len(within)
+                hosts += [host] * n
+                digests += [*outside, *map(_inside, within)]
+                copies += [root.digest] * len(outside) + [article] * len(within)
+                numbers += [number] * n
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(copies, pa.binary()), pa.array(numbers, pa.int64())], names=["host", "digest", "copy", "page"])
 
     rows = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).filter("host != ''")
-    counts = materialize(rows.mapInArrow(run, "host string, digest binary").groupBy("host", "digest").agg(F.count("*").alias("n")), "subtrees")
-    per_host = counts.filter(F.length("digest") == 0).select("host", F.col("n").alias("pages"))
-    often = counts.filter((F.length("digest") > 0) & (F.col("n") >= min_pages)).join(per_host, "host").filter(F.col("n") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("digest").alias("templates"))
+    return rows.selectExpr("host", "html", "xxhash64(html) AS page").mapInArrow(run, "host string, digest binary, copy binary, page long")
+
+
+def site_templates(pages: DataFrame, min_pages: int = 10, share: float = 0.1, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, digest): subtrees that at least min_pages different pages and, outside articles, that share of a host's pages have.
+
+    Copies of a page count once. Within articles, the articles have to differ, and a subtree that is in an article of
+    another host too is a quotation or a common phrase and no template. Pages without a host have no templates.
+    """
+    pages_of = _subtrees(pages, url_col, html_col).select("host", "digest", "copy").distinct().groupBy("host", "digest").agg(F.count("*").alias("n"))
+    counts = materialize(pages_of, "subtrees")
+    per_host = pages.groupBy(host_of(url_col).alias("host")).agg(F.count("*").alias("pages"))
+    outside = counts.filter(F.length("digest") == 8).filter(F.col("n") >= min_pages).join(per_host, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "digest")
+    within = counts.filter(F.length("digest") > 8).groupBy("digest").agg(F.count("*").alias("hosts"), F.min("host").alias("host"), F.max("n").alias("n"))
+    return outside.union(within.filter((F.col("hosts") == 1) & (F.col("n") >= min_pages)).select("host", "digest"))
 
 
 def extract_main_text(pages: DataFrame, min_pages: int = 10, share: float = 0.1, broadcast_bytes: int = 32 << 20, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
@@ -268,19 +311,26 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, share: float = 0.1,
 
     Two passes over the html: subtrees are hashed and counted for each host, then each page is parsed again and
     loses what rules and its host's templates name. Templates are sent to all tasks if their measured size is below
-    broadcast_bytes; else pages are joined with them by host (a host with a third of the pages is then split by
-    the adaptive skew join). Null and empty html, and pages without an article: text "" or what is left, never null.
-    Unclosed, cut-off and wrongly nested markup is closed as browsers do; repeated rows give equal texts.
+    broadcast_bytes and no host has over 1000; else a third pass finds which of them each page has, and pages are joined with these by host and
+    a hash of the html, so that no row carries all templates of a large host. Null and empty html, and pages without
+    an article: text "" or what is left, never null. Unclosed, cut-off and wrongly nested markup is closed as browsers
+    do; repeated rows give equal texts.
     """
     importable(pages.sparkSession)
     carry = [c for c in ([c for c in pages.columns if c != html_col] if carry is None else carry) if c not in ("text", "n_chars")]
     templates = materialize(site_templates(pages, min_pages, share, url_col, html_col), "templates")
-    size = templates.agg(F.sum(F.size("templates") * 40 + 200)).first()[0] or 0
-    small = size <= broadcast_bytes
-    host, source, known = (free_name(pages, n) for n in ("__host", "__html", "__templates"))
+    size, most = templates.groupBy("host").count().agg(F.sum("count") * 40, F.max("count")).first()
+    host, number, source, known = (free_name(pages, n) for n in ("__host", "__page", "__html", "__templates"))
     rows = pages.select(*carry, host_of(url_col).alias(host), F.coalesce(F.col(html_col), F.lit("")).alias(source))
-    found = templates.select(F.col("host").alias(host), F.col("templates").alias(known))
-    rows = rows.join(F.broadcast(found) if small else found, host, "left").select(*carry, host, known, source)
+    small = (size or 0) <= broadcast_bytes and (most or 0) <= 1000
+    if small:
+        found = templates.groupBy(F.col("host").alias(host)).agg(F.collect_list("digest").alias(known))
+        rows = rows.join(F.broadcast(found), host, "left")
+    else:
+        has = _subtrees(pages, url_col, html_col).select("host", "page", "digest").distinct().join(templates, ["host", "digest"])
+        found = has.groupBy(F.col("host").alias(host), F.col("page").alias(number)).agg(F.collect_list("digest").alias(known))
+        rows = rows.withColumn(number, F.xxhash64(source)).join(found, [host, number], "left")
+    rows = rows.select(*carry, host, known, source)
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(carry)]) + "text string, n_chars long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +338,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, share: float = 0.1,
         for batch in batches:
             texts = []
             for row in range(batch.num_rows):
-                if (now := batch.column(n)[row].as_py()) != site:
+                if (now := batch.column(n)[row].as_py()) != site or not small:
                     site, digests = now, frozenset(batch.column(n + 1)[row].as_py() or ())
                 texts.append(main_text(parse(batch.column(n + 2)[row].as_py()), digests))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*carry, "text", "n_chars"])

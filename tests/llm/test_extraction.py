@@ -70,3 +70,22 @@ def test_hosts(spark):
     urls = ["https://User:pw@WWW.Example.com:80/x", "http://a.b", "//no", "", None, "ftp://h?q#f"]
     df = spark.createDataFrame([(u,) for u in urls], "url string").select(X.host_of().alias("h"))
     assert [r.h for r in df.collect()] == ["www.example.com", "a.b", "", "", "", "h"]
+
+
+def test_templates_within_articles(spark):
+    notice, quote = "<div><p>Our readers pay for this site</p></div>", "<p>a passage that many quote</p>"
+
+    def page(host, name, body):
+        return (f"https://{host}/{name}", f"<body><article>{body}</article><p>Imprint</p></body>")
+
+    rows = [page("a.example", k, f"<p>story number {k} has words of its own and more of them</p><b>note</b>{quote}{notice}") for k in range(12)]
+    rows += [page("b.example", 0, f"<p>elsewhere</p>{quote}")]
+    rows += [page("c.example", k, f"<p>a copied story with quite some words in it</p><p>read {k}</p>") for k in range(12)]
+    rows += [page("d.example", k, "<p>one story</p><p>many addresses</p>") for k in range(12)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    for limit in (32 << 20, -1):
+        texts = {r.url: r.text for r in X.extract_main_text(df, broadcast_bytes=limit).collect()}
+        assert texts["https://a.example/7"] == "story number 7 has words of its own and more of them note a passage that many quote"
+        assert texts["https://b.example/0"] == "elsewhere a passage that many quote"
+        assert texts["https://c.example/7"] == "a copied story with quite some words in it read 7"
+        assert texts["https://d.example/7"] == "one story many addresses"
