@@ -221,13 +221,14 @@ def template_candidates(root: Element) -> tuple[set[bytes], set[bytes]]:
 def main_text(root: Element, templates: frozenset[bytes] | set[bytes] = frozenset()) -> str:
     """Text of the content roots without boilerplate and without template subtrees.
 
-    Template subtrees that would take half of an article's text or more are what copies of it share, and stay.
+    Template subtrees that would take half of an article's text or more are what copies of it share, and stay; so do
+    those of a page of which nothing would be left.
     """
     out: list[str] = []
     for top in content_roots(root):
         parts, lost = _text_parts(top, top is not root, templates)
         kept = sum(len(w) for x in parts for w in x.split()) if lost else 1
-        if top is not root and kept <= lost:
+        if kept <= lost if top is not root else not kept:
             parts, _ = _text_parts(top, top is not root, frozenset())
         out += [*parts, " "]
     return " ".join("".join(out).split())
@@ -292,21 +293,20 @@ def _subtrees(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return rows.selectExpr("host", "html", "xxhash64(html) AS page").mapInArrow(run, "host string, digest binary, copy binary, page long")
 
 
-def site_templates(pages: DataFrame, min_pages: int = 10, share: float = 0.1, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, digest): subtrees that at least min_pages different pages and, outside articles, that share of a host's pages have.
+def site_templates(pages: DataFrame, min_pages: int = 10, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, digest): subtrees that at least min_pages different pages of a host have, in any share of its pages.
 
     Copies of a page count once. Within articles, the articles have to differ, and a subtree that is in an article of
     another host too is a quotation or a common phrase and no template. Pages without a host have no templates.
     """
     pages_of = _subtrees(pages, url_col, html_col).select("host", "digest", "copy").distinct().groupBy("host", "digest").agg(F.count("*").alias("n"))
     counts = materialize(pages_of, "subtrees")
-    per_host = pages.groupBy(host_of(url_col).alias("host")).agg(F.count("*").alias("pages"))
-    outside = counts.filter(F.length("digest") == 8).filter(F.col("n") >= min_pages).join(per_host, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "digest")
+    outside = counts.filter(F.length("digest") == 8).filter(F.col("n") >= min_pages).select("host", "digest")
     within = counts.filter(F.length("digest") > 8).groupBy("digest").agg(F.count("*").alias("hosts"), F.min("host").alias("host"), F.max("n").alias("n"))
     return outside.union(within.filter((F.col("hosts") == 1) & (F.col("n") >= min_pages)).select("host", "digest"))
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = 10, share: float = 0.1, broadcast_bytes: int = 32 << 20, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
+def extract_main_text(pages: DataFrame, min_pages: int = 10, broadcast_bytes: int = 32 << 20, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
     """The columns carry of pages (None: all but the html) with text and n_chars (its code points).
 
     Two passes over the html: subtrees are hashed and counted for each host, then each page is parsed again and
@@ -318,7 +318,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, share: float = 0.1,
     """
     importable(pages.sparkSession)
     carry = [c for c in ([c for c in pages.columns if c != html_col] if carry is None else carry) if c not in ("text", "n_chars")]
-    templates = materialize(site_templates(pages, min_pages, share, url_col, html_col), "templates")
+    templates = materialize(site_templates(pages, min_pages, url_col, html_col), "templates")
     size, most = templates.groupBy("host").count().agg(F.sum("count") * 40, F.max("count")).first()
     host, number, source, known = (free_name(pages, n) for n in ("__host", "__page", "__html", "__templates"))
     rows = pages.select(*carry, host_of(url_col).alias(host), F.coalesce(F.col(html_col), F.lit("")).alias(source))

@@ -89,3 +89,18 @@ def test_templates_within_articles(spark):
         assert texts["https://b.example/0"] == "elsewhere a passage that many quote"
         assert texts["https://c.example/7"] == "a copied story with quite some words in it read 7"
         assert texts["https://d.example/7"] == "one story many addresses"
+
+
+def test_templates_count_pages_not_shares_or_copies(spark):
+    def page(host, name, section, body):
+        return (f"https://{host}/{name}", f"<body><div>Menu of {section}</div><div>{body}</div></body>")
+
+    rows = [page("hot.example", k, "news" if k < 12 else f"shelf {k}", f"story {k}") for k in range(240)]
+    rows += [page("copies.example", k, "all", "<p>the only story</p>") for k in range(15)] + [page("copies.example", f"x{k}", f"x{k}", f"other {k}") for k in range(5)]
+    rows += [(f"https://bare.example/{k}", f"<body><div>Menu</div><p>{'story ' + str(k) if k else ''}</p></body>") for k in range(12)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    for limit in (32 << 20, -1):
+        texts = {r.url: r.text for r in X.extract_main_text(df, broadcast_bytes=limit).collect()}
+        assert texts["https://hot.example/7"] == "story 7" and texts["https://hot.example/70"] == "Menu of shelf 70 story 70"
+        assert texts["https://copies.example/3"] == "Menu of all the only story" and texts["https://copies.example/x3"] == "Menu of x3 other 3"
+        assert texts["https://bare.example/3"] == "story 3" and texts["https://bare.example/0"] == "Menu"
