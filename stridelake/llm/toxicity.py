@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -59,8 +60,11 @@ def _terms(data: bytes) -> set[bytes]:
     return words | {w[:k] for w in words for k in _STEMS if len(w) > k}
 
 
-def peculiar_terms(toxic: list[bytes], ordinary: list[bytes], share: float = 0.07, times: float = 10.0) -> list[bytes]:
-    """Terms that are in at least ``share`` of the toxic texts and ``times`` as frequent there, the rarest first.
+def peculiar_terms(toxic: list[bytes], ordinary: list[bytes], times: float = 10.0, nats: float = 9.0) -> list[bytes]:
+    """Terms ``times`` as frequent in toxic texts, and in so many that chance explains it with exp(-nats) at most.
+
+    The rarest come first. Chance is Chernoff's bound on how many of the texts with a term are toxic, which asks for
+    the more texts the larger their toxic share is, but for no share of them: words of a small language count too.
 
     Copies and near copies count as one text: they agree in the smallest of their terms' hashes nearly always, and of
     three hash functions the one that finds the fewest texts counts. Only terms that are in enough toxic texts are
@@ -82,9 +86,16 @@ def peculiar_terms(toxic: list[bytes], ordinary: list[bytes], share: float = 0.0
 
     seen = Counter(t for text in toxic for t in _terms(text))
     bad, n_bad = frequencies(toxic, {t for t, n in seen.items() if n >= 3})
-    bad = {t: n for t, n in bad.items() if n >= max(3, share * n_bad)}
+    bad = {t: n for t, n in bad.items() if n >= 3}
     fine, n_fine = frequencies(ordinary, set(bad))
     bad = {t: n for t, n in bad.items() if n / n_bad > times * (fine.get(t, 0) + 0.3) / n_fine}
+    toxic_share = n_bad / (n_bad + n_fine)
+
+    def surprise(n: int, m: int) -> float:
+        p = n / (n + m)
+        return n * math.log(p / toxic_share) + (m * math.log((1 - p) / (1 - toxic_share)) if m else 0.0)
+
+    bad = {t: n for t, n in bad.items() if surprise(n, fine.get(t, 0)) >= nats}
     # Of a stem and its words the dictionary needs one: the longest that is nearly as frequent as what it begins with.
     stems = {t for t, n in bad.items() if any(u != t and u.startswith(t) and 5 * m >= 4 * n for u, m in bad.items())}
     words = {t for t, n in bad.items() if any(u != t and t.startswith(u) and 2 * n < m for u, m in bad.items())}

@@ -91,6 +91,24 @@ def test_toxicity_learns_and_takes_odd_rows(spark):
     assert toxicity.score_toxicity(df.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_words_that_few_toxic_texts_have():
+    rng = random.Random(4)
+
+    def word(letters):
+        return "".join(rng.choice(letters) for _ in range(8))
+
+    plain, bad = [word("abcdefghijklm") for _ in range(20000)], [word("nopqrstuvwxyz") for _ in range(60)]
+
+    def texts(n, k):
+        return [" ".join(rng.choices(plain, k=60) + [bad[(k * at + i) % len(bad)] for i in range(k)]).encode() for at in range(n)]
+
+    toxic, ordinary = texts(400, 3), texts(1200, 0)
+    found = toxicity.peculiar_terms(toxic, ordinary)
+    assert all(any(w.encode().startswith(t) for t in found) for w in bad) and not any(w.encode() in found for w in plain)
+    distances = toxicity.Distances(toxicity.train_dictionaries(toxic, ordinary, [v.base_kb for v in toxicity.VIEWS]))
+    assert distances.features(texts(50, 3))[:, 0].min() > np.median(distances.features(texts(50, 0))[:, 0])
+
+
 def test_windows_cover_the_text():
     text = "a bb\n ccc\t" * 500 + "x" * 1000
     assert b" ".join(toxicity.windows(text.encode(), 64)).split() == text.encode().split()
