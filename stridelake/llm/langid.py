@@ -129,7 +129,7 @@ class LanguageModel:
 
 
 def train_languages(docs: DataFrame, max_rows: int = 1500, max_bytes: int = 32 << 10, bits: int = 12) -> LanguageModel | None:
-    """Fit on a bounded sample: at most max_rows documents of each language, each of at most max_bytes.
+    """Fit on a bounded sample: at most 1.2 * max_rows documents of each language, each of at most max_bytes.
 
     Only rows that held_out() spares and that have a language and a letter are used; the sample is chosen by a hash
     of the id, so that reruns agree. None where there are none.
