@@ -71,24 +71,34 @@ def peculiar_terms(toxic: list[bytes], ordinary: list[bytes], times: float = 10.
     looked for in the ordinary ones.
     """
 
-    def frequencies(texts: list[bytes], wanted: set[bytes]) -> tuple[dict[bytes, int], int]:
+    def frequencies(texts: list[bytes], wanted: set[bytes], limits: dict[bytes, float] | None = None) -> tuple[dict[bytes, int], int]:
         groups: dict[bytes, list[set[int]]] = defaultdict(lambda: [set(), set(), set()])
         every: list[set[int]] = [set(), set(), set()]
         for text in texts:
             terms = _terms(text)
             least = [min((zlib.crc32(t, k) for t in terms), default=0) for k in (0, 1, 2)]
             for t in terms & wanted:
-                for g, h in zip(groups[t], least):
+                found = groups[t]
+                for g, h in zip(found, least):
                     g.add(h)
+                if limits and min(map(len, found)) > limits[t]:  # too frequent, whatever follows
+                    del groups[t]
+                    wanted.discard(t)
             for g, h in zip(every, least):
                 g.add(h)
         return {t: min(map(len, g)) for t, g in groups.items()}, max(1, min(map(len, every)))
 
     seen = Counter(t for text in toxic for t in _terms(text))
-    bad, n_bad = frequencies(toxic, {t for t, n in seen.items() if n >= 3})
-    bad = {t: n for t, n in bad.items() if n >= 3}
-    fine, n_fine = frequencies(ordinary, set(bad))
-    bad = {t: n for t, n in bad.items() if n / n_bad > times * (fine.get(t, 0) + 0.3) / n_fine}
+    seen = {t for t, n in seen.items() if n >= 3}
+    bad, n_bad = frequencies(toxic, seen)
+    del seen
+    # A term in no ordinary text needs as many toxic ones at least.
+    least_texts = max(3.0, nats / math.log(1 + len(ordinary) / n_bad))
+    bad = {t: n for t, n in bad.items() if n >= least_texts}
+    limits = {t: n * len(ordinary) / (n_bad * times) for t, n in bad.items()}
+    rare = set(bad)
+    fine, n_fine = frequencies(ordinary, rare, limits)
+    bad = {t: n for t, n in bad.items() if t in rare and n / n_bad > times * (fine.get(t, 0) + 0.3) / n_fine}
     toxic_share = n_bad / (n_bad + n_fine)
 
     def surprise(n: int, m: int) -> float:
