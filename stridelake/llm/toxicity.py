@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,20 +19,12 @@ from .common import arrow_input, held_out, importable, text_bytes
 
 #: The three start values of zstandard's repeated offsets, which end the header of a trained dictionary: fixed values.
 _REPEATS = (1).to_bytes(4, "little") + (4).to_bytes(4, "little") + (8).to_bytes(4, "little")
-_EDGES = b".,!?;:*#%&$\"'()"
-_STEMS = (4, 5, 6, 7)
+_EDGES = b".,!?;:*#%&$\"'()|"
+#: Lengths of the byte sequences by which words that ordinary texts lack are told.
+_GRAMS = (5, 7)
 
-
-@dataclass(frozen=True)
-class View:
-    """One way to look at a text: windows of at least window bytes, a base of base_kb, and how zstandard searches."""
-
-    window: int
-    base_kb: int
-    strategy: int = zstandard.STRATEGY_GREEDY
-
-
-VIEWS = (View(60, 16), View(100, 4), View(160, 4), View(220, 16), View(160, 16, zstandard.STRATEGY_LAZY2))
+#: Texts are looked at in windows of these many bytes at least.
+WINDOWS = (60, 100, 160)
 
 
 def _spaced(data: bytes) -> bytes:
@@ -54,134 +46,119 @@ def windows(data: bytes, size: int) -> list[bytes]:
     return list(_cut(_spaced(data), size))
 
 
-def _terms(data: bytes) -> set[bytes]:
-    """Words without edges of punctuation, and their beginnings, as one stem takes many endings."""
-    words = {t for w in data.split() if len(t := w.strip(_EDGES)) >= 3}
-    return words | {w[:k] for w in words for k in _STEMS if len(w) > k}
+def _words(data: bytes) -> set[bytes]:
+    return {x for w in data.split() if len(x := w.strip(_EDGES)) >= 3}
 
 
-def peculiar_terms(toxic: list[bytes], ordinary: list[bytes], times: float = 10.0, nats: float = 9.0) -> list[bytes]:
-    """Terms ``times`` as frequent in toxic texts, and in so many that chance explains it with exp(-nats) at most.
+def _grams(word: bytes) -> set[bytes]:
+    word = b" " + word
+    return {word[i : i + n] for n in _GRAMS for i in range(len(word) - n + 1)}
 
-    The rarest come first. Chance is Chernoff's bound on how many of the texts with a term are toxic, which asks for
-    the more texts the larger their toxic share is, but for no share of them: words of a small language count too.
 
-    Copies and near copies count as one text: they agree in the smallest of their terms' hashes nearly always, and of
-    three hash functions the one that finds the fewest texts counts. Only terms that are in enough toxic texts are
-    looked for in the ordinary ones.
-    """
+def _once(texts: list[bytes]) -> list[bytes]:
+    """The first of all texts whose words have the same smallest hash, as copies and nearly all near copies do."""
+    return list({min((zlib.crc32(w) for w in _words(t)), default=0): t for t in reversed(texts)}.values())[::-1]
+
 
-    def frequencies(texts: list[bytes], wanted: set[bytes], limits: dict[bytes, float] | None = None) -> tuple[dict[bytes, int], int]:
-        groups: dict[bytes, list[set[int]]] = defaultdict(lambda: [set(), set(), set()])
-        every: list[set[int]] = [set(), set(), set()]
-        for text in texts:
-            terms = _terms(text)
-            least = [min((zlib.crc32(t, k) for t in terms), default=0) for k in (0, 1, 2)]
-            for t in terms & wanted:
-                found = groups[t]
-                for g, h in zip(found, least):
-                    g.add(h)
-                if limits and min(map(len, found)) > limits[t]:  # too frequent, whatever follows
-                    del groups[t]
-                    wanted.discard(t)
-            for g, h in zip(every, least):
-                g.add(h)
-        return {t: min(map(len, g)) for t, g in groups.items()}, max(1, min(map(len, every)))
-
-    seen = Counter(t for text in toxic for t in _terms(text))
-    seen = {t for t, n in seen.items() if n >= 3}
-    bad, n_bad = frequencies(toxic, seen)
-    del seen
-    # A term in no ordinary text needs as many toxic ones at least.
-    least_texts = max(3.0, nats / math.log(1 + len(ordinary) / n_bad))
-    bad = {t: n for t, n in bad.items() if n >= least_texts}
-    limits = {t: n * len(ordinary) / (n_bad * times) for t, n in bad.items()}
-    rare = set(bad)
-    fine, n_fine = frequencies(ordinary, rare, limits)
-    bad = {t: n for t, n in bad.items() if t in rare and n / n_bad > times * (fine.get(t, 0) + 0.3) / n_fine}
-    toxic_share = n_bad / (n_bad + n_fine)
-
-    def surprise(n: int, m: int) -> float:
+def toxic_samples(toxic: list[bytes], ordinary: list[bytes], times: float = 10.0, nats: float = 9.0) -> list[bytes]:
+    """What each toxic text has that ordinary texts lack: its words with a sequence of bytes that is ``times`` as
+    frequent in toxic texts, and in so many that chance explains it with exp(-nats) at most.
+
+    Labels are of texts, and most of a toxic text is ordinary; a dictionary trained on all of it holds ordinary text.
+    Chance is Chernoff's bound on how many of the texts with a sequence are toxic, so there is no least share of the
+    toxic texts: those of a small language count too. Only sequences that toxic texts have are counted in ordinary ones.
+    """
+    seen = Counter(g for t in toxic for g in set().union(*map(_grams, _words(t))))
+    seen = {g: n for g, n in seen.items() if n >= 3}
+    fine = Counter(g for t in ordinary for g in set().union(*map(_grams, _words(t))) if g in seen)
+    share = len(toxic) / (len(toxic) + len(ordinary))
+
+    def telling(n: int, m: int) -> bool:
+        if n / len(toxic) <= times * (m + 0.3) / len(ordinary):
+            return False
         p = n / (n + m)
-        return n * math.log(p / toxic_share) + (m * math.log((1 - p) / (1 - toxic_share)) if m else 0.0)
+        return n * math.log(p / share) + (m * math.log((1 - p) / (1 - share)) if m else 0.0) >= nats
 
-    bad = {t: n for t, n in bad.items() if surprise(n, fine.get(t, 0)) >= nats}
-    # Of a stem and its words the dictionary needs one: the longest that is nearly as frequent as what it begins with.
-    stems = {t for t, n in bad.items() if any(u != t and u.startswith(t) and 5 * m >= 4 * n for u, m in bad.items())}
-    words = {t for t, n in bad.items() if any(u != t and t.startswith(u) and 2 * n < m for u, m in bad.items())}
-    return [t for n, t in sorted((n, t) for t, n in bad.items() if t not in stems and t not in words)]
+    own = {g for g, n in seen.items() if telling(n, fine[g])}
+    found = ([w for x in t.split() if len(w := x.strip(_EDGES)) >= 3 and not own.isdisjoint(_grams(w))] for t in toxic)
+    return [b" " + b" ".join(dict.fromkeys(words)) + b" " for words in found if words]
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], sizes_kb: list[int], seed: int = 7) -> list[tuple[bytes, bytes]]:
-    """For each size of base a dictionary of ordinary and one of toxic text, of equal size.
+def train(samples: list[bytes], size: int) -> tuple[bytes, bytes]:
+    """Header and content of the dictionary that zstandard trains; where it can't, no header and the samples' end."""
+    try:
+        made = zstandard.train_dictionary(size, samples).as_bytes()
+        at = made.index(_REPEATS) + len(_REPEATS)
+        return made[:at], made[at:]
+    except (zstandard.ZstdError, ValueError):
+        return b"", b"".join(samples)[-size:]
 
-    Both have the entropy tables and the base that zstandard trains on ordinary text, so that they differ in their
-    last part only: more ordinary text against what is peculiar to toxic text, where offsets are shortest. A
-    window's two lengths then differ by what the toxic part saves and by little else.
+
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], ordinary_bytes: int = 16 << 10, toxic_bytes: int = 2 << 10, max_windows: int = 15_000, seed: int = 7) -> tuple[bytes, bytes]:
+    """The dictionary that zstandard trains on windows of ordinary texts, and the one for toxic texts.
+
+    zstandard trains the toxic one apart, on toxic_samples(). To express the ordinary text around, it stands behind
+    the ordinary content, with the ordinary header: a window's two lengths then differ by what toxic content saves
+    and not by chance differences of ordinary content. At most max_windows ordinary windows, drawn at random from
+    all, are used; copies count once in both classes.
     """
-    terms = peculiar_terms(toxic, ordinary)
-    own = (b" " + b" ".join(terms) + b" ")[-(48 << 10) :]
+    toxic, ordinary = _once(toxic), _once(ordinary)
     pieces = [w for x in ordinary for w in windows(x, 160)]
     random.Random(seed).shuffle(pieces)
-    filler = b" ".join(pieces[-(len(own) // 160 + 2) :])[: len(own)].ljust(len(own), b" ")
-    made = {}
-    for kb in set(sizes_kb):
-        try:
-            base = zstandard.train_dictionary(kb << 10, pieces[:15000]).as_bytes()
-            if _REPEATS not in base:
-                base = b""
-        except zstandard.ZstdError:  # too little text
-            base = b""
-        base = base or b"".join(pieces)[: kb << 10]
-        made[kb] = base + filler, base + own
-    return [made[kb] for kb in sizes_kb]
+    header, content = train(pieces[:max_windows], ordinary_bytes)
+    samples = toxic_samples(toxic, ordinary)
+    _, own = train(samples, min(toxic_bytes, max(512, sum(map(len, samples)) // 6)))
+    return header + content, header + content + own
 
 
 class Distances:
     """Lengths under the ordinary dictionary minus those under the toxic one, summed up over the windows of a text."""
 
-    def __init__(self, dictionaries: list[tuple[bytes, bytes]], views: tuple[View, ...] = VIEWS):
-        self.views, self.pairs, self._kept = views, [], []
-        for view, pair in zip(views, dictionaries):
-            params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=5, target_length=16, strategy=view.strategy, write_content_size=False, write_checksum=False, write_dict_id=False)
-            made = []
-            for data in pair:
-                full = data[:4] == b"\x37\xa4\x30\xec"
-                d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT if full else zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=params)
-                self._kept.append(d)
-                made.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d).compress)
-            self.pairs.append(made)
+    def __init__(self, dictionaries: tuple[bytes, bytes], sizes: tuple[int, ...] = WINDOWS):
+        self.sizes, self._kept, made = sizes, [], []
+        # The tables have room for all of the dictionaries' content, else what comes first is forgotten.
+        params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=5, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        for data in dictionaries:
+            full = data[:4] == b"\x37\xa4\x30\xec"
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT if full else zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            self._kept.append(d)
+            made.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d).compress)
+        self.fine, self.bad = made
+
+    def windows(self, data: bytes, size: int) -> list[int]:
+        """The difference for each window of a text."""
+        fine, bad = self.fine, self.bad
+        return [len(fine(w)) - len(bad(w)) for w in _cut(_spaced(data.lower()), size)]
 
     def features(self, texts: Iterable[bytes]) -> np.ndarray:
-        """A row per text: for each view the three largest differences, sums and counts, whole and per window."""
-        found: list[list[int]] = [[] for _ in self.views]
-        counts: list[list[int]] = [[] for _ in self.views]
-        sizes = []
+        """A row per text: for each size the three largest differences, sums and counts, whole and per window."""
+        found: list[list[int]] = [[] for _ in self.sizes]
+        counts: list[list[int]] = [[] for _ in self.sizes]
+        lengths = []
         for data in texts:
-            sizes.append(len(data))
-            spaced = _spaced(data.lower())
-            for view, (fine, bad), d, n in zip(self.views, self.pairs, found, counts):
-                before = len(d)
-                d += [len(fine(w)) - len(bad(w)) for w in _cut(spaced, view.window)] or [0]
-                n.append(len(d) - before)
-        if not sizes:
+            lengths.append(len(data))
+            for size, d, n in zip(self.sizes, found, counts):
+                own = self.windows(data, size) or [0]
+                d += own
+                n.append(len(own))
+        if not lengths:
             return np.zeros((0, 0))
         columns = []
-        for view, d, n in zip(self.views, found, counts):
+        for size, d, n in zip(self.sizes, found, counts):
             d, n = np.array(d), np.array(n)
             starts = np.cumsum(n) - n
             falling = d[np.lexsort((-d, np.repeat(np.arange(len(n)), n)))]
             top = [np.where(n > k, falling[np.minimum(starts + k, len(d) - 1)], 0) for k in range(3)]
             stats = np.array([*top, *(np.add.reduceat(x, starts) for x in (d, np.maximum(d - 1, 0), (d >= 2) * 1, (d >= 3) * 1, (d <= -2) * 1))], float)
-            share = np.maximum(1.0, np.array(sizes) / view.window)
+            share = np.maximum(1.0, np.array(lengths) / size)
             columns += [*stats, *(stats / share), *np.log1p(np.maximum(0.0, stats)), np.log(share), 1 / share]
-        return np.array([*columns, np.ones(len(sizes))]).T
+        return np.array([*columns, np.ones(len(lengths))]).T
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    dictionaries: list[tuple[bytes, bytes]]
+    dictionaries: tuple[bytes, bytes]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -190,30 +167,38 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(((features - self.mean) / self.scale) @ self.weights, -30, 30)))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton's method: where the thresholds on the distances lie, for each length of text."""
-    ridge = 1e-3 + 5 / len(y)
+def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression by Newton's method, with steps halved until the loss falls: where the thresholds on the
+    distances lie, for each length of text."""
+    ridge = 1e-3 + 1 / len(y)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     mean[-1], scale[-1] = 0.0, 1.0
     z = (x - mean) / scale
     w = np.zeros(z.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0.0, np.where(y > 0, -1.0, 1.0) * (z @ w)).mean() + ridge * (w @ w) / 2)
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         g = z.T @ (p - y) / len(y) + ridge * w
         h = (z * (p * (1 - p))[:, None]).T @ z / len(y) + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        while (new := loss(w - step)) > now and np.abs(step).max() > 1e-7:
+            step /= 2
+        w, before, now = w - step, now, new
+        if before - now < 1e-9:
             break
     return mean, scale, w
 
 
-def _feature_rows(docs: DataFrame, carry: list[str], text_col: str, dictionaries: list[tuple[bytes, bytes]], model: ToxicityModel | None, views: tuple[View, ...]) -> DataFrame:
+def _feature_rows(docs: DataFrame, carry: list[str], text_col: str, dictionaries: tuple[bytes, bytes], model: ToxicityModel | None) -> DataFrame:
     """carry, and as x the features as a list or (with a model) the score."""
     docs, at, ddl = arrow_input(docs, carry, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(dictionaries, views)
+        distances = Distances(dictionaries)
         for batch in batches:
             x = distances.features(text_bytes(batch.column(at)))
             if model is None:
@@ -225,52 +210,67 @@ def _feature_rows(docs: DataFrame, carry: list[str], text_col: str, dictionaries
     return docs.mapInArrow(run, ddl + (", x array<double>" if model is None else ", x double"))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = (9000, 4000), max_bytes: int = 64 << 10, views: tuple[View, ...] = VIEWS, dictionary_share: float = 0.6) -> ToxicityModel | None:
+def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int], max_bytes: int) -> list[tuple[int, bytes]]:
+    """(label, text with A-Z in lower case): at most max_rows rows of each label, the first by a hash of id and text.
+
+    Ids whose labels differ are not used. Rows that repeat an id count as rows, and equal rows once, so max_rows *
+    max_bytes bounds what reaches the driver. The rows and their order are the same in every run.
+    """
+    y = F.col("toxic").cast("int")
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy("doc_id").agg(F.min(y).alias("y"), F.max(y).alias("__y")).filter("y = __y").drop("__y")
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes)
+    rows = []
+    for label in (0, 1):
+        # A preselection by id of twice as many spares most of the join; texts that are too long are few.
+        share = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
+        ids = known.filter((F.col("y") == label) & (share < 2.0 * max_rows[label] / max(1, counts.get(label, 0)))).select("doc_id")
+        few = texts.join(ids, "doc_id").distinct().withColumn("key", F.xxhash64("doc_id", "text"))
+        rows += [(label, r["key"], r["text"].encode("utf-8", "surrogatepass").lower()) for r in few.orderBy("key", "text").limit(max_rows[label]).collect()]
+    return [(label, text) for label, _, text in sorted(rows, key=lambda r: r[1:])]
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = (9000, 4000), max_bytes: int = 32 << 10, folds: int = 3) -> ToxicityModel | None:
     """Fit on a bounded sample: at most max_rows labelled documents of each label (0, 1), each of at most max_bytes.
 
-    Only rows that held_out() spares are used. The sample is the same in every run: ids by hash. Dictionaries are
-    trained on dictionary_share of it and the thresholds on the rest and as many of those, so that they don't only
-    see texts whose terms the dictionaries hold. None where a label is missing.
+    Only rows that held_out() spares are used; see learning_rows(). The dictionaries come from the whole sample. The
+    thresholds are fitted to its distances under them and, as much, to those of each part of the sample under
+    dictionaries that the other parts give, which no text of the part was trained into. None where a label is missing, as in
+    empty tables.
     """
     importable(docs.sparkSession)
-    known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id"), F.col("toxic").cast("int").alias("y")).dropna().dropDuplicates(["doc_id"])
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not (counts.get(0) and counts.get(1)):
-        return None
-    share = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
-    few = [known.filter(F.col("y") == y).filter(share < 1.1 * max_rows[y] / counts[y]).limit(max_rows[y]) for y in (0, 1)]
-    chosen = F.broadcast(few[0].union(few[1]))  # at most sum(max_rows) rows of two numbers
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes).join(chosen, "doc_id")
-    rows = sorted(((r["doc_id"], r["y"], r["text"].encode("utf-8", "surrogatepass")) for r in rows.collect()), key=lambda r: zlib.crc32(b"%d" % r[0]))
-    texts = [[t.lower() for _, y, t in rows if y == label] for label in (0, 1)]
+    spark, rows = docs.sparkSession, learning_rows(docs, labels, max_rows, max_bytes)
+    texts = [[t for y, t in rows if y == label] for label in (0, 1)]
     if not all(texts):
         return None
-    for_terms = [t[: max(1, int(len(t) * dictionary_share))] for t in texts]
-    dictionaries = train_dictionaries(for_terms[1], for_terms[0], [v.base_kb for v in views])
-    seen = {y: len(t) for y, t in enumerate(for_terms)}
-    at, sample = [0, 0], []
-    for _, y, t in rows:
-        at[y] += 1
-        if at[y] > seen[y] or at[y] <= len(texts[y]) - seen[y]:
-            sample.append((y, t.decode("utf-8", "surrogatepass")))
-    spark = docs.sparkSession
-    rows = spark.createDataFrame(sample, "y int, text string").repartition(max(2, min(64, len(sample) // 200)))
-    got = _feature_rows(rows, ["y"], "text", dictionaries, None, views).collect()
-    x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
-    order = np.lexsort((*x.T[:4], y))  # as the rows' order differs from run to run, and sums with it
+    del rows
+    dictionaries = train_dictionaries(texts[1], texts[0])
+    rounds = [([ts[k::folds] for ts in texts], [[t for i, t in enumerate(ts) if i % folds != k] for ts in texts]) for k in range(folds)]
+    rounds = [(part, train_dictionaries(others[1], others[0])) for part, others in rounds if all(others)]
+    x, y = [], []
+    for part, made in [*rounds, (texts, dictionaries)]:
+        rows = [(label, t.decode("utf-8", "surrogatepass")) for label in (0, 1) for t in part[label]]
+        df = spark.createDataFrame(rows, "y int, text string").repartition(max(2, min(64, len(rows) // 100)))
+        for r in _feature_rows(df, ["y"], "text", made, None).collect():
+            x.append(r["x"])
+            y.append(r["y"])
+    x, y = np.array(x), np.array(y, float)
+    order = np.lexsort((*x.T, y))  # as the rows' order differs from run to run, and sums with it
     return ToxicityModel(dictionaries, *_calibrate(x[order], y[order]))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", carry: list[str] | None = None, views: tuple[View, ...] = VIEWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns carry of docs (None: all) with score (0 to 1) and predicted (score >= 0.5) for every whole text.
 
     Null and empty texts have no windows and get the score of an empty text. Without a model all scores are 0. A
-    text is in memory once and its windows one at a time; there is no shuffle. Repeated rows get equal scores.
+    text is in memory once and its windows one at a time; there is no shuffle. Repeated rows get equal scores. An
+    empty table gives no rows.
     """
     importable(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted")]
     if model is None:
         out = docs.select(*carry, F.lit(0.0).alias("score"))
     else:
-        out = _feature_rows(docs, carry, text_col, model.dictionaries, model, views).withColumnRenamed("x", "score")
+        out = _feature_rows(docs, carry, text_col, model.dictionaries, model).withColumnRenamed("x", "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import zstandard
 
 from stridelake.llm import embeddings, langid, tokencount, toxicity
 from stridelake.llm.queries import op4_toxicity, op7_embedding_dedup, op8_token_counts, op10_language_id
@@ -91,7 +92,7 @@ def test_toxicity_learns_and_takes_odd_rows(spark):
     assert toxicity.score_toxicity(df.limit(0), model).count() == 0
 
 
-def test_toxicity_learns_words_that_few_toxic_texts_have():
+def test_toxic_samples_are_what_few_toxic_texts_have():
     rng = random.Random(4)
 
     def word(letters):
@@ -103,12 +104,68 @@ def test_toxicity_learns_words_that_few_toxic_texts_have():
         return [" ".join(rng.choices(plain, k=60) + [bad[(k * at + i) % len(bad)] for i in range(k)]).encode() for at in range(n)]
 
     toxic, ordinary = texts(400, 3), texts(1200, 0)
-    found = toxicity.peculiar_terms(toxic, ordinary)
-    assert all(any(w.encode().startswith(t) for t in found) for w in bad) and not any(w.encode() in found for w in plain)
-    distances = toxicity.Distances(toxicity.train_dictionaries(toxic, ordinary, [v.base_kb for v in toxicity.VIEWS]))
+    samples = toxicity.toxic_samples(toxic, ordinary)
+    found = [w for s in samples for w in s.split()]
+    assert {w.encode() for w in bad} <= set(found) and sum(w.decode() in bad for w in found) > 0.98 * len(found)  # the rest by chance
+    fine, own = toxicity.train_dictionaries(toxic, ordinary)
+    distances = toxicity.Distances((fine, own))
     assert distances.features(texts(50, 3))[:, 0].min() > np.median(distances.features(texts(50, 0))[:, 0])
 
 
+def learning_texts(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.learning_rows(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), (9000, 4000), 32 << 10)
+    return [[t for y, t in rows if y == label] for label in (0, 1)]
+
+
+def test_each_dictionary_is_what_zstandard_trains_on_its_class(spark):
+    ordinary, toxic = learning_texts(spark)
+    fine, own = toxicity.train_dictionaries(toxic, ordinary)
+    pieces = [w for t in toxicity._once(ordinary) for w in toxicity.windows(t, 160)]
+    random.Random(7).shuffle(pieces)
+    assert fine == zstandard.train_dictionary(16 << 10, pieces[:15_000]).as_bytes()
+    samples = toxicity.toxic_samples(toxicity._once(toxic), toxicity._once(ordinary))
+    trained = zstandard.train_dictionary(min(2 << 10, sum(map(len, samples)) // 6), samples).as_bytes()
+    assert own[: len(fine)] == fine and len(own) > len(fine) + 512 and trained.endswith(own[len(fine) :])
+
+
+def test_scores_equal_a_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train_toxicity(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=5, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    fine, bad = (zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(d)) for d in model.dictionaries)
+    for r in docs.limit(150).collect():
+        data, row = r.text.encode().lower(), []
+        words = data.split()
+        for size in (60, 100, 160):
+            cuts, at = [], 0
+            while at < len(words):  # windows by words
+                n, end = 1 + len(words[at]), at + 1
+                while n < size and end < len(words):
+                    n, end = n + 1 + len(words[end]), end + 1
+                cuts.append(b" " + b" ".join(words[at:end]) + b" ")
+                at = end
+            d = sorted((len(fine.compress(w)) - len(bad.compress(w)) for w in cuts), reverse=True) or [0]
+            stats = np.array([*(d + [0, 0])[:3], sum(d), sum(max(x - 1, 0) for x in d), sum(x >= 2 for x in d), sum(x >= 3 for x in d), sum(x <= -2 for x in d)], float)
+            share = max(1.0, len(data) / size)
+            row += [*stats, *(stats / share), *np.log1p(np.maximum(0, stats)), np.log(share), 1 / share]
+        z = (np.array([*row, 1.0]) - model.mean) / model.scale
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-np.clip(z @ model.weights, -30, 30)))) < 1e-9
+
+
+def test_learning_rows_are_bounded_and_the_same_in_every_run(spark):
+    docs = [(k, f"text {k} again") for k in range(300)] * 3 + [(1, f"other {k}") for k in range(500)]
+    labels = [(k, k % 2) for k in range(300)] + [(k, 1 - k % 2) for k in range(0, 300, 10)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.learning_rows(df, lab, (40, 60), 1000)
+    assert [sum(y == label for y, _ in rows) for label in (0, 1)] == [40, 60]
+    assert rows == toxicity.learning_rows(df.repartition(7), lab.repartition(3), (40, 60), 1000)
+    assert not any(t.startswith(b"text") and int(t.split()[1]) % 10 == 0 for _, t in rows)
+    every = toxicity.learning_rows(df, lab, (9000, 9000), 1000)
+    assert len(every) == len(set(every))
+
+
 def test_windows_cover_the_text():
     text = "a bb\n ccc\t" * 500 + "x" * 1000
     assert b" ".join(toxicity.windows(text.encode(), 64)).split() == text.encode().split()
