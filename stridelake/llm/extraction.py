@@ -54,6 +54,10 @@ class Element:
     def __init__(self, tag: str, attributes: str):
         self.tag, self.attributes, self.children, self.digest, self.text_size = tag, attributes, [], b"", 0
 
+    def own_size(self) -> int:
+        """Characters of text directly below."""
+        return sum(len(w) for c in self.children if isinstance(c, str) for w in c.split())
+
     def close(self) -> None:
         h = hashlib.blake2b(self.tag.encode(), digest_size=8)
         for c in self.children:
@@ -71,18 +75,21 @@ def parse(source: str) -> Element:
     """The tree of a page, also of one that is cut off or nested wrongly: whatever is open at its end is closed."""
     root = Element("#root", "")
     stack, at = [root], 0
+    depths: dict[str, list[int]] = {}  # of the open elements of each tag, so that no search scans the stack
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            stack.pop().close()
+            node = stack.pop()
+            node.close()
+            if stack:
+                depths[node.tag].pop()
+
+    def deepest(names) -> int:
+        return max((depths[n][-1] for n in names if depths.get(n)), default=0)
 
     def open_at(names, barrier=frozenset()) -> int:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in names:
-                return depth
-            if stack[depth].tag in barrier:
-                return 0
-        return 0
+        depth = deepest(names)
+        return depth if depth > deepest(barrier) else 0
 
     size = len(source)
     while at < size:
@@ -126,6 +133,7 @@ def parse(source: str) -> Element:
             at = end.end() if end else size
             continue
         if not (match[3] or match[6] or "").rstrip().endswith("/") or tag not in ("svg", "path", "circle", "rect", "use", "g"):
+            depths.setdefault(tag, []).append(len(stack))
             stack.append(node)
     pop_to(0)
     return root
@@ -218,20 +226,53 @@ def template_candidates(root: Element) -> tuple[set[bytes], set[bytes]]:
     return outside, within
 
 
-def main_text(root: Element, templates: frozenset[bytes] | set[bytes] = frozenset()) -> str:
-    """Text of the content roots without boilerplate and without template subtrees.
+def extract(root: Element, templates: frozenset[bytes] | set[bytes] = frozenset()) -> tuple[str, int]:
+    """Text of the content roots without boilerplate and template subtrees, and how many characters templates took.
 
-    Template subtrees that would take half of an article's text or more are what copies of it share, and stay; so do
+    Templates decide first, on the whole page: what they take is counted there and at the content roots, whatever
+    rules say of it. Three kinds of template subtrees stay, as copies of an article share them: one that holds two
+    thirds of the text that rules keep, or a content root; those that would take half of an article's text or more; and
     those of a page of which nothing would be left.
     """
+    roots = content_roots(root)
     out: list[str] = []
-    for top in content_roots(root):
+    taken = 0
+    for top in roots:
         parts, lost = _text_parts(top, top is not root, templates)
         kept = sum(len(w) for x in parts for w in x.split()) if lost else 1
         if kept <= lost if top is not root else not kept:
-            parts, _ = _text_parts(top, top is not root, frozenset())
+            parts, lost = _text_parts(top, top is not root, frozenset())
         out += [*parts, " "]
-    return " ".join("".join(out).split())
+        taken += lost
+    if templates:
+        own, todo = {id(r) for r in roots if r is not root}, [(root, False)]
+        while todo:  # beside the content roots, also below what rules drop
+            node, dropped = todo.pop()
+            for c in node.children:
+                if isinstance(c, str) or id(c) in own:
+                    continue
+                below = dropped or is_boilerplate(c, False)
+                if c.digest in templates and (below or roots != [root]) and not _holds(c, own):
+                    taken += c.text_size
+                elif c.text_size:
+                    todo.append((c, below))
+    return " ".join("".join(out).split()), taken
+
+
+def _holds(node: Element, own: set[int]) -> bool:
+    todo = [node] if own else []
+    while todo:
+        for c in todo.pop().children:
+            if not isinstance(c, str):
+                if id(c) in own:
+                    return True
+                todo.append(c)
+    return False
+
+
+def main_text(root: Element, templates: frozenset[bytes] | set[bytes] = frozenset()) -> str:
+    """The text of extract()."""
+    return extract(root, templates)[0]
 
 
 def _text_parts(top: Element, in_article: bool, templates: frozenset[bytes] | set[bytes]) -> tuple[list[str], int]:
@@ -239,6 +280,7 @@ def _text_parts(top: Element, in_article: bool, templates: frozenset[bytes] | se
     parts: list[str] = []
     todo: list = [(top, in_article)]
     lost = 0
+    most = sum(n.own_size() for n, _ in _walk(top, in_article)) * 2 / 3 if templates and not in_article else 0
     while todo:
         node, inside = todo.pop()
         if isinstance(node, str):
@@ -253,7 +295,7 @@ def _text_parts(top: Element, in_article: bool, templates: frozenset[bytes] | se
                 todo.append((c, below))
                 continue
             dropped = is_boilerplate(c, below)
-            if not dropped and templates and (_inside(c.digest) if below else c.digest) in templates:
+            if not dropped and templates and (_inside(c.digest) if below else c.digest) in templates and (below or c.text_size <= most):
                 dropped = True
                 lost += c.text_size
             if not dropped:
@@ -307,17 +349,20 @@ def site_templates(pages: DataFrame, min_pages: int = 10, url_col: str = "url",
 
 
 def extract_main_text(pages: DataFrame, min_pages: int = 10, broadcast_bytes: int = 32 << 20, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
-    """The columns carry of pages (None: all but the html) with text and n_chars (its code points).
+    """The columns carry of pages (None: all but the html) with text, n_chars (its code points) and template_chars.
+
+    template_chars counts the characters other than white space that template subtrees took from the page.
 
     Two passes over the html: subtrees are hashed and counted for each host, then each page is parsed again and
     loses what rules and its host's templates name. Templates are sent to all tasks if their measured size is below
     broadcast_bytes and no host has over 1000; else a third pass finds which of them each page has, and pages are joined with these by host and
     a hash of the html, so that no row carries all templates of a large host. Null and empty html, and pages without
     an article: text "" or what is left, never null. Unclosed, cut-off and wrongly nested markup is closed as browsers
-    do; repeated rows give equal texts.
+    do, in time that grows with the page however deep it nests; a page is in memory once, as a tree. Repeated rows
+    give equal texts. An empty table gives no rows.
     """
     importable(pages.sparkSession)
-    carry = [c for c in ([c for c in pages.columns if c != html_col] if carry is None else carry) if c not in ("text", "n_chars")]
+    carry = [c for c in ([c for c in pages.columns if c != html_col] if carry is None else carry) if c not in ("text", "n_chars", "template_chars")]
     templates = materialize(site_templates(pages, min_pages, url_col, html_col), "templates")
     size, most = templates.groupBy("host").count().agg(F.sum("count") * 40, F.max("count")).first()
     host, number, source, known = (free_name(pages, n) for n in ("__host", "__page", "__html", "__templates"))
@@ -331,7 +376,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, broadcast_bytes: in
         found = has.groupBy(F.col("host").alias(host), F.col("page").alias(number)).agg(F.collect_list("digest").alias(known))
         rows = rows.withColumn(number, F.xxhash64(source)).join(found, [host, number], "left")
     rows = rows.select(*carry, host, known, source)
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(carry)]) + "text string, n_chars long"
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(carry)]) + "text string, n_chars long, template_chars long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, site, digests = len(carry), None, frozenset()
@@ -340,8 +385,8 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, broadcast_bytes: in
             for row in range(batch.num_rows):
                 if (now := batch.column(n)[row].as_py()) != site or not small:
                     site, digests = now, frozenset(batch.column(n + 1)[row].as_py() or ())
-                texts.append(main_text(parse(batch.column(n + 2)[row].as_py()), digests))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*carry, "text", "n_chars"])
+                texts.append(extract(parse(batch.column(n + 2)[row].as_py()), digests))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([k for _, k in texts], pa.int64())], names=[*carry, "text", "n_chars", "template_chars"])
 
     return rows.mapInArrow(run, ddl)
 

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -62,7 +63,7 @@ def test_templates_of_a_site(spark):
         texts = dict((i, t) for i, t, _ in got)
         assert texts[7] == "story 7 of a.example" and texts[45] == "Site mottoHome story 45 of h45.example shared passage Imprint"
         assert texts[100] == "Site mottoHome kept" and texts[101] == "no url" and texts[102] == "" and all(n == len(t) for _, t, n in got)
-    assert X.extract_main_text(df).columns == ["page_id", "url", "text", "n_chars"]
+    assert X.extract_main_text(df).columns == ["page_id", "url", "text", "n_chars", "template_chars"]
     assert X.extract_main_text(df.limit(0)).count() == 0
 
 
@@ -104,3 +105,30 @@ def test_templates_count_pages_not_shares_or_copies(spark):
         assert texts["https://hot.example/7"] == "story 7" and texts["https://hot.example/70"] == "Menu of shelf 70 story 70"
         assert texts["https://copies.example/3"] == "Menu of all the only story" and texts["https://copies.example/x3"] == "Menu of x3 other 3"
         assert texts["https://bare.example/3"] == "story 3" and texts["https://bare.example/0"] == "Menu"
+
+
+def test_templates_alone_find_the_text_of_real_pages(spark):
+    """Pages of one host without any tag or class that tells an article from the rest."""
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("url LIKE '%//blog.tionsh.example.com/%'").collect()]
+    bare = [(i, u, re.sub(r"<(/?)(?:article|nav|footer)>|<div class=.ad.>", lambda m: f"<{m[1] or ''}div>", h)) for i, u, h in pages]
+    df = spark.createDataFrame(bare, "page_id long, url string, html string")
+    got = {r.page_id: r for r in X.extract_main_text(df, min_pages=3).collect()}
+    none = {r.page_id: r for r in X.extract_main_text(df, min_pages=10**9).collect()}
+    want = {r.page_id: r.text for r in X.extract_main_text(spark.createDataFrame(pages, df.schema)).collect()}
+    assert len(got) == len(pages) > 300
+    changed = [i for i in got if got[i].text != none[i].text]
+    assert len(changed) > 0.9 * len(pages) and all(got[i].template_chars > 0 for i in changed)
+    assert not any(none[i].text == want[i] for i in want) and sum(got[i].text == want[i] for i in want) > 0.65 * len(want)
+
+
+def test_most_of_a_page_is_no_template(spark):
+    rows = [(f"https://a.example/{k}", f"<body><div>Menu {k % 2}</div><div><p>the same long story at many addresses</p></div><div>tail {k}</div></body>") for k in range(40)]
+    texts = [r.text for r in X.extract_main_text(spark.createDataFrame(rows, "url string, html string")).collect()]
+    assert all("the same long story at many addresses" in t and "Menu" not in t for t in texts)
+
+
+def test_deep_nesting_is_linear():
+    began = time.process_time()
+    for source in ("<div>" * 100_000, "<b><p>" * 50_000, "<table><tr><td>" * 30_000, "<ul><li>" * 50_000, "</i>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000):
+        assert X.main_text(X.parse(source + "deep")) == "deep"
+    assert time.process_time() - began < 12
