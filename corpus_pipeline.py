@@ -30,8 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the compression bands."""
+    bands = quality.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     inner, named = _shielded(docs)
-    return named(quality.score_quality(inner).filter("kept"))
+    return named(quality.score_quality(inner, bands).filter("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
