@@ -98,19 +98,28 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts stay whole: the one document of a source at which its budget ends is taken in the last pass if at least
     half of it lies before the end, so a source comes within half a document of its budget. Where the passes end is
-    one row per source, which is sent to all tasks if there are at most most_sources; texts are not shuffled.
+    one row per source, which is sent to all tasks if there are at most most_sources; texts are not shuffled, but for
+    those of rows that repeat the id and size of the last row taken: they are numbered, to take as many as the mix
+    does. Null, empty and blank texts are never taken; a null source is a source of its own; long texts are counted in
+    the JVM and not copied. No documents: no rows.
     """
-    placed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **kw)
+    placed = materialize(mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **kw).withColumn("skey", source_key("source")), "mix-placed")
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     last = F.col("taken") - whole * F.col("size")
-    rank = F.struct(F.col("mix_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.col("size"))
-    skey, whole_col, end, passes, one_pass = (free_name(docs, n) for n in ("__skey", "__whole", "__end", "__passes", "__pass"))
-    ends = placed.groupBy(source_key("source").alias(skey)).agg(F.max(whole).alias(whole_col), F.max(F.when((last > 0) & (2 * last >= F.col("size")), rank)).alias(end))
-    ends = materialize(ends, "mix-ends")
+    rank = F.struct(F.col("mix_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"))
+    skey, whole_col, end, copies, passes, one_pass = (free_name(docs, n) for n in ("__skey", "__whole", "__end", "__copies", "__passes", "__pass"))
+    taken = placed.filter((last > 0) & (2 * last >= F.col("size")))
+    wholes = placed.groupBy(F.col("skey").alias(skey)).agg(F.max(whole).alias(whole_col))
+    last_taken = taken.groupBy("skey").agg(F.max(rank).alias(end))
+    equal = taken.join(last_taken, "skey").filter(rank == F.col(end)).groupBy(F.col("skey").alias(skey), end).agg(F.count("*").alias(copies))
+    ends = materialize(wholes.join(equal, skey, "left"), "mix-ends")
     if ends.count() <= most_sources:
         ends = F.broadcast(ends)
-    own = F.struct(mix_key(seed, id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), word_count(text_col))
-    rows = docs.withColumn(skey, source_key(source_col)).join(ends, skey)
-    count = F.col(whole_col) + F.when(F.col(end).isNotNull() & (own <= F.col(end)) & (word_count(text_col) > 0), 1).otherwise(0)
-    rows = rows.withColumn(passes, count.cast("int")).filter(F.col(passes) > 0)
+    own = F.struct(mix_key(seed, id_col), F.coalesce(F.col(id_col).cast("string"), F.lit("")), word_count(text_col))
+    rows = docs.withColumn(skey, source_key(source_col)).join(ends, skey).filter(word_count(text_col) > 0)
+    at_end = F.col(end).isNotNull() & (own == F.col(end))
+    number = F.row_number().over(Window.partitionBy(skey).orderBy(text_col))
+    others = rows.filter(~at_end).withColumn(passes, F.col(whole_col) + F.when(F.col(end).isNotNull() & (own < F.col(end)), 1).otherwise(0))
+    edge = rows.filter(at_end).withColumn(passes, F.col(whole_col) + F.when(number <= F.col(copies), 1).otherwise(0))
+    rows = others.unionByName(edge).withColumn(passes, F.col(passes).cast("int")).filter(F.col(passes) > 0)
     return rows.withColumn(one_pass, F.explode(F.sequence(F.lit(1), F.col(passes)))).select(*docs.columns)
