@@ -166,13 +166,16 @@ def write_archives(
     sample_rows: int = 400,
     sample_row_bytes: int = 64 << 10,
     date: str = "1970-01-01T00:00:00Z",
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Write a record per row of pages (page_id, url, html) to .warc.zst files; returns their manifest.
 
     folder: a URI that all executors reach (default: a new one in the shared folder). Of the records with equal
     payloads of min_revisit_bytes bytes at least, the one with the largest page_id is the response and the others
-    revisit it, each knowing it from one aggregate per digest that is joined back (a skewed join that can be split;
-    digests that occur once are not joined). The dictionary is trained once on at most sample_rows whole pages of at
+    revisit it. One aggregate over digests, no html in it, gives the responses of payloads that occur more than once;
+    that table is written, and sent to all tasks if it measures broadcast_bytes at most, so html is not shuffled;
+    else pages are joined with it by digest, both sides shuffled for that join alone, so that Spark can split a
+    payload with very many copies. The dictionary is trained once on at most sample_rows whole pages of at
     most sample_row_bytes, drawn at random, and is at most dictionary_bytes long. Each task rolls over to a new file
     at archive_bytes. Files of failed attempts are not in the manifest, which is written only from finished tasks.
 
@@ -189,8 +192,10 @@ def write_archives(
     dictionary = train_dictionary([bytes(r[0]) for r in sample.select("payload").limit(sample_rows).collect()], dictionary_bytes)
 
     same = p.groupBy("sha1", "payload_bytes").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
-    same = same.filter((F.col("n") > 1) & (F.col("payload_bytes") >= min_revisit_bytes)).drop("n")
-    p = p.join(same, ["sha1", "payload_bytes"], "left")
+    same = materialize(same.filter((F.col("n") > 1) & (F.col("payload_bytes") >= min_revisit_bytes)).drop("n"), "warc-same")
+    # 64 bytes for a digest, a length and an id; html stays where it is read unless there are too many of them.
+    known = F.broadcast(same) if same.count() * 64 <= broadcast_bytes else same.hint("merge")
+    p = p.join(known, ["sha1", "payload_bytes"], "left")
     is_revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     rows = p.select("page_id", "url", F.when(is_revisit, F.lit(None)).otherwise(F.col("payload")).alias("payload"), "sha1", "payload_bytes", "response_id")
 
