@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _stars(edges: DataFrame, both_ways: bool, split: bool) -> DataFrame:
+def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     """One star step on (u, v), u > v: hang neighbours of a node below the smallest node of its neighbourhood.
 
-    both_ways: the larger neighbours of every node (large star), else its smaller ones and itself (small star).
-    split: write the smallest neighbours before they are joined. Both sides of the join are then shuffled for it
-    alone, so that Spark can split the rows of a node with very many neighbours among tasks.
+    both_ways: the larger neighbours of every node (large star), else its smaller ones and itself (small star). The
+    smallest neighbours are written before they are joined: both sides of the join are then shuffled for it alone, so
+    that Spark can split the rows of a node with very many neighbours among tasks.
     """
     near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both_ways else edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    least = materialize(least, "least") if split else least
+    least = materialize(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     near = near.join(least, "u")
     if both_ways:
         out = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -26,21 +25,21 @@ def _stars(edges: DataFrame, both_ways: bool, split: bool) -> DataFrame:
     return out.filter("u != v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60, split_from: int = 1_000_000) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge; root is the smallest node of its component.
 
     edges: (a, b) of any orderable type, in any direction, repeats and loops allowed. Alternates large and small
-    stars until the set of edges stays the same, which takes about log(n) rounds; every round is one table in the
-    shared folder, and only a count and a checksum reach the driver. From split_from edges on, joins can be split.
+    stars until the set of edges stays the same, which takes about log(n) rounds; every step is one table in the
+    shared folder, and only a count and a checksum reach the driver. Nulls link nothing; no edges: no rows.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     e, before = materialize(e, "links"), None
-    for _ in range(max_rounds):
+    while True:
         mark = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if mark == before or not mark[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
         before, old = mark, e
-        split = mark[0] >= split_from
-        e = materialize(_stars(_stars(e, True, split), False, split), "links")
+        large = materialize(_stars(e, True), "links")
+        e = materialize(_stars(large, False), "links")
         discard(old)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        discard(large)

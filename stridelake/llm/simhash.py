@@ -78,7 +78,9 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
     roots = connected_components(near_pairs(nodes.select("fp")))
     nodes = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    nodes = materialize(nodes, "print-roots")
+    # Written, so that both sides of the join by root are shuffled for it alone and Spark can split a large group.
+    groups = materialize(nodes.groupBy("root").agg(F.min("least_id").alias("component_id")), "print-groups")
     return prints.join(nodes.select("fp", "root").join(groups, "root").select("fp", "root", "component_id"), "fp")
 
 
@@ -96,7 +98,8 @@ def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keys = near_duplicates(printed.select("doc_id", "fp")).groupBy("doc_id", "fp", "root").agg(F.count("*").alias("n"))
     keys = materialize(keys, "print-keys")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"))
-    keys = keys.join(keys.groupBy("root").agg(F.min(rank).alias("first")), "root").withColumn("wins", rank == F.col("first"))
+    firsts = materialize(keys.groupBy("root").agg(F.min(rank).alias("first")), "print-firsts")  # as in near_duplicates()
+    keys = keys.join(firsts, "root").withColumn("wins", rank == F.col("first"))
     no_id = F.lit(-(1 << 63))  # stands for null in the join, beside a flag
     key = [F.coalesce("doc_id", no_id).alias(number), F.col("doc_id").isNull().alias(flag), F.col("fp")]
     lost = keys.filter("NOT wins OR n > 1").select(*key)

@@ -80,7 +80,7 @@ def test_components_of_a_path_and_a_star(spark):
     want = plain_components([p for p in links if p[0] != p[1]], {x for p in links for x in p} - {300})
     assert got == want
     df = spark.createDataFrame([p for p in links if p[0] > 40], "a long, b long")
-    assert {r.node: r.root for r in connected_components(df, split_from=0).collect()} == {n: c for n, c in want.items() if n > 40}
+    assert {r.node: r.root for r in connected_components(df).collect()} == {n: c for n, c in want.items() if n > 40}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
