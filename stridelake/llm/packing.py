@@ -23,16 +23,19 @@ _UNEVEN = re.compile(r"\s\s|[\t\r]")
 
 
 class _Ids(dict):
-    """Chunk -> its ids as little-endian uint32; forgets all when it has grown to ``limit`` chunks."""
+    """Chunk -> its ids as little-endian uint32; keeps chunks of at most 256 characters, and forgets all when it has
+    grown to ``limit`` of them."""
 
     def __init__(self, encode, prefix: str, limit: int):
         self.encode, self.prefix, self.limit = encode, prefix, limit
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
         ids = self.encode(self.prefix + chunk)
-        out = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= 256:
+            if len(self) >= self.limit:
+                self.clear()
+            self[chunk] = out
         return out
 
 

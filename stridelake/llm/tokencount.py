@@ -32,42 +32,52 @@ class CountingViterbi:
 
     Aho-Corasick names the pieces that end at a character, longest first. Of equally good paths to a position the
     one whose last piece starts first is kept, as later ones must be strictly better. A character that is no piece
-    of its own may be unknown; unknown characters in a row count as one piece.
+    of its own may be unknown; unknown characters in a row count as one piece. Of a long word only the positions that
+    the longest piece can reach back to are kept.
     """
 
+    keep = 1 << 14
+
     def __init__(self, vocabulary: list[tuple[str, float]]):
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.longest = ahocorasick.Automaton(), max((len(p) for p, _ in vocabulary), default=1)
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
 
     def __call__(self, text: str) -> tuple[float, int]:
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text):
-            ends[end].append(found)
-        score, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(n):
+        score, count, unknown, base = [0.0], [0], [False], 0  # of the positions from base on
+        found = iter(self.automaton.iter(text))
+        piece_end, piece = next(found, (-1, None))
+        for end in range(len(text)):
             best, start, single = -math.inf, -1, False
-            for length, s in ends[end]:
+            while piece_end == end:
+                length, s = piece
                 single |= length == 1
-                at = end + 1 - length
-                if (at == 0 or score[at] != -math.inf) and s + score[at] > best:
+                at = end + 1 - length - base
+                if s + score[at] > best:
                     best, start = s + score[at], at
-            is_unknown = not single and self.unknown + score[end] > best
+                piece_end, piece = next(found, (-1, None))
+            is_unknown = not single and self.unknown + score[-1] > best
             if is_unknown:
-                best, start = self.unknown + score[end], end
-            score[end + 1], unknown[end + 1] = best, is_unknown
-            count[end + 1] = count[start] + (not (is_unknown and unknown[start]))
-        return score[n], count[n]
-
-
-def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col: str = "text", carry: list[str] | None = None, cache_words: int = 300_000) -> DataFrame:
+                best, start = self.unknown + score[-1], len(score) - 1
+            score.append(best)
+            count.append(count[start] + (not (is_unknown and unknown[start])))
+            unknown.append(is_unknown)
+            if len(score) > self.keep:  # no piece reaches back further than the longest
+                base += len(score) - self.longest - 1
+                for held in (score, count, unknown):
+                    del held[: -self.longest - 1]
+        return score[-1], count[-1]
+
+
+def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col: str = "text", carry: list[str] | None = None, cache_words: int = 300_000, cache_word_bytes: int = 256) -> DataFrame:
     """The columns carry of docs (None: all) with n_tokens and best_score.
 
     Words (cut at ASCII white space, each with the space mark in front) are segmented apart, so a word's result is
-    kept in a bounded cache. Null, empty and blank texts: 0 and 0.0. No shuffle; whole texts, one at a time.
+    kept in a cache of at most cache_words words of at most cache_word_bytes bytes. Null, empty and blank texts: 0 and
+    0.0. No shuffle; whole texts, one at a time, also where a text is one word. Repeated rows get equal counts. An
+    empty table gives no rows.
     """
     importable(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("n_tokens", "best_score")]
@@ -79,9 +89,11 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col:
 
         class Words(dict):
             def __missing__(self, word: bytes) -> tuple[float, int]:
-                if len(self) >= cache_words:
-                    self.clear()
-                out = self[word] = segment(SPACE_MARK + word.decode("utf-8", "surrogatepass"))
+                out = segment(SPACE_MARK + word.decode("utf-8", "surrogatepass"))
+                if len(word) <= cache_word_bytes:
+                    if len(self) >= cache_words:
+                        self.clear()
+                    self[word] = out
                 return out
 
         known = Words().__getitem__
