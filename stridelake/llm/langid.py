@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_input, held_out, importable
@@ -47,12 +47,13 @@ def ngram_features(text: str, bits: int, block: int = 1 << 20) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     for at in range(0, len(raw), block):
         b = raw[at : at + block + 3].astype(np.uint32)
+        starts = min(block, len(raw) - at)  # sequences that start in the overlap belong to the next block
         h = np.zeros_like(b)
         for n in range(4):  # h: hash of the n + 1 bytes that start here
             if len(b) <= n:
                 break
             h = (h[: len(b) - n] * np.uint32(0x01000193)) ^ (b[n:] + np.uint32(n * 257))
-            mixed = h * np.uint32(0x9E3779B1)
+            mixed = h[:starts] * np.uint32(0x9E3779B1)
             counts += np.bincount((mixed >> np.uint32(32 - bits)) & mask, minlength=1 << bits)
     counts = np.sqrt(counts)
     return (counts / max(np.linalg.norm(counts), 1e-9)).astype(np.float32)
@@ -128,26 +129,39 @@ class LanguageModel:
         return lang, sure * surer
 
 
-def train_languages(docs: DataFrame, max_rows: int = 1500, max_bytes: int = 32 << 10, bits: int = 12) -> LanguageModel | None:
-    """Fit on a bounded sample: at most 1.2 * max_rows documents of each language, each of at most max_bytes.
+def train_languages(docs: DataFrame, max_rows: int = 1500, max_bytes: int = 32 << 10, bits: int = 12, max_languages: int = 200, max_total: int = 12_000) -> LanguageModel | None:
+    """Fit on a bounded sample: at most max_rows texts of each language, each of at most max_bytes, of the
+    max_languages most frequent languages (ties: by name), and fewer of each where that made over max_total texts.
 
-    Only rows that held_out() spares and that have a language and a letter are used; the sample is chosen by a hash
-    of the id, so that reruns agree. None where there are none.
+    Only rows that held_out() spares and that have a language and a letter are used; the sample of a language is the
+    first of its different texts by a hash of id and text, so reruns agree and rows that repeat an id count like any
+    other. A language's candidates are preselected by id, twice as many as needed, so no task ranks a whole language.
+    Texts become features in the tasks, and at most max_total features of 2 ** bits numbers reach the driver. None where there are no such rows, as in an empty table.
     """
+    importable(docs.sparkSession)
     known = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text").between(1, max_bytes)))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    rate = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(1.2 * max_rows / n)) for lang, n in counts.items())) if counts else F.lit(0.0)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not counts:
+        return None
+    max_rows = max(1, min(max_rows, max_total // len(counts)))
+    rate = docs.sparkSession.createDataFrame([(r["lang"], 2.0 * max_rows / r["n"]) for r in counts], "lang string, rate double")
     share = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    rows = sorted({(r["lang"], r["doc_id"], r["text"]) for r in known.filter(share < rate).select("lang", "doc_id", "text").collect()})
-    per: dict[str, list[str]] = {}
-    for lang, _, text in rows:
-        if has_letter(text) and len(per.setdefault(lang, [])) < int(1.2 * max_rows):
-            per[lang].append(text)
-    per = {lang: texts for lang, texts in per.items() if texts}
-    if not per:
+    few = known.select("lang", "doc_id", "text").join(F.broadcast(rate), "lang").filter((share < F.col("rate")) & F.col("text").rlike(r"\p{L}"))
+    few = few.select("lang", "text", F.xxhash64("doc_id", "text").alias("key")).distinct()
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
+    rows = few.withColumn("number", number).filter(F.col("number") <= max_rows).select("lang", "number", "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [ngram_features(t.as_py(), bits).tobytes() if has_letter(t.as_py()) else None for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["lang", "number", "x"])
+
+    got = rows.mapInArrow(run, "lang string, number int, x binary").filter("x IS NOT NULL").collect()
+    got = sorted((r["lang"], r["number"], bytes(r["x"])) for r in got)
+    if not got:
         return None
-    names = np.array([lang for lang, texts in per.items() for _ in texts])
-    x = np.array([ngram_features(t, bits) for texts in per.values() for t in texts])
+    names = np.array([lang for lang, _, _ in got])
+    x = np.array([np.frombuffer(d, np.float32) for _, _, d in got])
     families = np.array([family_of(n) for n in names])
     return LanguageModel(bits, Machines.fit(x, families), {f: Machines.fit(x[families == f], names[families == f]) for f in sorted(set(families.tolist()))})
 
@@ -156,7 +170,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, text_col: s
     """The columns carry of docs (None: all) with lang_pred and score for every whole text.
 
     A text that is null, empty or without a letter, and every text where there is no model, is "und" with score 0.
-    No shuffle; a text is read once, in blocks. Repeated rows get equal predictions.
+    No shuffle; a text is read once, in blocks whose size changes no result. Repeated rows get equal predictions. An
+    empty table gives no rows.
     """
     importable(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]

@@ -38,6 +38,24 @@ def test_languages_of_odd_texts(spark):
     assert langid.identify_languages(df.limit(0), model).count() == 0
 
 
+def test_features_do_not_depend_on_blocks():
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choices("abcdéßя", k=rng.randint(1, 9))) for _ in range(3000))
+    one = langid.ngram_features(text, 12)
+    for block in (7, 1000, 4096):
+        assert np.array_equal(langid.ngram_features(text, 12, block), one)
+
+
+def test_language_sample_is_bounded_and_the_same_in_every_run(spark):
+    rng = random.Random(10)
+    rows = [(k, " ".join(rng.choices(words, k=12)), lang) for lang, words in (("en", "the of and with".split()), ("de", "der die und nicht".split()), ("xx", ["zzz"])) for k in range(150)]
+    rows += [(1, f"the of {k}", "en") for k in range(400)]  # one id, many rows
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = [langid.train_languages(d, max_rows=40, max_languages=2) for d in (df, df.repartition(5))]
+    assert made[0].families.classes == ["germanic"] and made[0].within["germanic"].classes == ["de", "en"]
+    assert np.array_equal(made[0].within["germanic"].w, made[1].within["germanic"].w)
+
+
 def test_machines_vote():
     rng = np.random.default_rng(0)
     centers = np.eye(4) * 3
@@ -206,6 +224,22 @@ def test_ties_and_unknown_runs():
             assert count(text)[1] == len(t.encode(text).ids), (pieces, text)
 
 
+def test_one_very_long_word_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(3)
+    pieces = [("a", -1.0), ("ab", -1.5), ("bca", -2.0), ("c", -3.0), ("cabca", -2.5)]
+    count = tokencount.CountingViterbi(pieces)
+    text = "".join(rng.choices("abcd", k=50_000))
+    whole = tokencount.CountingViterbi(pieces)
+    whole.keep = 1 << 40
+    assert count(text) == whole(text)
+    tracemalloc.start()
+    count("abcad" * 600_000)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
 # Embeddings
 
 
