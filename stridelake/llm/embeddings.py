@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +57,32 @@ def _rotations(dims: int, total_bits: int) -> np.ndarray:
 
 
 def _valid(values: list | None) -> np.ndarray | None:
+    """The vector as float32 where that holds its values, else as float64; None if it links with nothing."""
     if not values or any(v is None for v in values):
         return None
     x = np.array(values, np.float64)
-    length = np.linalg.norm(x)
-    return x + 0.0 if np.isfinite(length) and length > 0 else None
+    if not np.isfinite(x).all() or not x.any():
+        return None
+    x = x + 0.0
+    least, most = np.abs(x[x != 0]).min(), np.abs(x).max()
+    if least >= 2.0**-126 and most < 2.0**127 and (x == x.astype(np.float32)).all():
+        return x.astype(np.float32)
+    return x
+
+
+def _data(x: np.ndarray) -> bytes:
+    """Bytes of a vector, the first of them its type, so that equal vectors have equal bytes."""
+    return (b"f" if x.dtype == np.float32 else b"d") + x.tobytes()
+
+
+def _vector(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<f4" if data[:1] == b"f" else "<f8", offset=1).astype(np.float64)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by way of their largest component, so that no length over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def class_rows(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -69,7 +91,7 @@ def class_rows(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [_valid(v) for v in batch.column(1).to_pylist()]
-            data = [None if x is None else x.tobytes() for x in made]
+            data = [None if x is None else _data(x) for x in made]
             cls = [None if d is None else hashlib.blake2b(d, digest_size=16).digest() for d in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(data, pa.binary())], names=["vec_id", "class", "vector"])
 
@@ -87,14 +109,14 @@ def key_rows(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             by_dims: dict[int, list[int]] = {}
             data = batch.column(1).to_pylist()
             for row, d in enumerate(data):
-                by_dims.setdefault(len(d) // 8, []).append(row)
+                by_dims.setdefault((len(d) - 1) // (4 if d[:1] == b"f" else 8), []).append(row)
             keys, codes, factor = np.zeros((len(data), tables), np.int64), [b""] * len(data), np.zeros(len(data))
             for dims, rows in by_dims.items():
                 if dims not in turns:
                     turns[dims] = _rotations(dims, bits * tables), rotation(dims, 0)
-                x = np.frombuffer(b"".join(data[r] for r in rows)).reshape(-1, dims)
+                x = _units(np.array([_vector(data[r]) for r in rows]))
                 keys[rows] = ((x @ turns[dims][0].T >= 0).reshape(len(rows), tables, bits) @ places) ^ (dims << 40)
-                _, signs, factor[rows] = encode(x / np.linalg.norm(x, axis=1, keepdims=True), turns[dims][1])
+                _, signs, factor[rows] = encode(x, turns[dims][1])
                 for r, packed in zip(rows, np.packbits(signs, axis=1)):
                     codes[r] = packed.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64())), pa.array(codes, pa.binary()), pa.array(factor)], names=["class", "keys", "code", "factor"])
@@ -121,9 +143,20 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(n, -1)
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Rows of a column of _data() of vectors of one length, as a matrix."""
+    if len(set(pc.binary_length(column).to_pylist())) > 1:  # float32 and float64
+        return np.array([_vector(d) for d in column.to_pylist()])
+    raw = _matrix(column, "u1")
+    kind = "<f4" if raw[0, 0] == ord("f") else "<f8"
+    if (raw[:, 0] != raw[0, 0]).any():  # as many bytes, but another type: another length
+        raise ValueError("vectors of different lengths in a unit")
+    return np.ascontiguousarray(raw[:, 1:]).view(kind).astype(np.float64)
+
+
 def compare_units(units: DataFrame, cosine: float, sigmas: float) -> DataFrame:
     """(class, links, other) from units, rows (table, key, i, j, block, class, copies, keys, code, factor, vector)
-    sorted by the first four, which name the unit.
+    sorted by the first four, which name the unit, and by class.
 
     A unit holds one or two blocks of a bucket. For every class, links is the number of vectors of other classes
     that it links with in this unit and with which it shares no key of an earlier table, so that each pair counts
@@ -136,14 +169,14 @@ def compare_units(units: DataFrame, cosine: float, sigmas: float) -> DataFrame:
 
         def compare(unit: pa.RecordBatch) -> pa.RecordBatch | None:
             n = unit.num_rows
-            x = _matrix(unit.column("vector"), "<f8")
+            x = _units(_vectors(unit.column("vector")))
             dims = x.shape[1]
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
             if dims not in turns:
                 turns[dims] = rotation(dims, 0)
             signs = np.unpackbits(_matrix(unit.column("code"), "u1"), axis=1, count=dims).astype(bool)
             value, half = estimate(signs, unit.column("factor").to_numpy(), x @ turns[dims].T, sigmas)
-            maybe = np.triu(value + half >= cosine, 1)
+            maybe = value + half >= cosine
+            maybe = np.triu(maybe | maybe.T, 1)  # as either may be the coded one: the same pairs in every bucket
             block = unit.column("block").to_numpy()
             if block.min() != block.max():  # pairs within a block belong to the unit of that block alone
                 maybe &= block[:, None] != block[None, :]
@@ -219,7 +252,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float
     full = met.join(classes.select("class", "copies", "vector").join(keyed, "class"), "class")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(classes.count() * tables / 20_000))
     unit = ["table", "key", "i", "j"]
-    units = full.repartition(parts, *unit).sortWithinPartitions(*unit)
+    units = full.repartition(parts, *unit).sortWithinPartitions(*unit, "class")
     found = materialize(compare_units(units.select(*unit, "block", "class", "copies", "keys", "code", "factor", "vector"), cosine, sigmas), "vector-links")
 
     links = found.groupBy("class").agg(F.sum("links").alias("links"))

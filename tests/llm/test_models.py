@@ -287,6 +287,13 @@ def test_vectors_equal_brute_force(spark):
     assert {r.n_links for r in embeddings.near_duplicate_vectors(df.filter("vec_id between 7000 and 7005")).collect()} == {0}
 
 
+def test_lengths_beyond_doubles(spark):
+    rows = [(1, [1e200] * 4), (2, [1e-200] * 4), (3, [1.0] * 4), (4, [1e-320, 0.0, 0.0, 0.0]), (5, [5.0, 0.0, 0.0, 0.0]), (6, [1.7e308] * 4), (7, [0.1] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(df).collect()}
+    assert got == {i: (4, 1) for i in (1, 2, 3, 6, 7)} | {4: (1, 4), 5: (1, 4)}
+
+
 def test_recall_on_the_table(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     x = np.array([v for _, v in rows])
