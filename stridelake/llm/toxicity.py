@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_input, held_out, importable, text_bytes
+from .common import arrow_input, discard, held_out, importable, materialize, text_bytes
 
 #: The three start values of zstandard's repeated offsets, which end the header of a trained dictionary: fixed values.
 _REPEATS = (1).to_bytes(4, "little") + (4).to_bytes(4, "little") + (8).to_bytes(4, "little")
@@ -220,14 +220,15 @@ def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int],
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min(y).alias("y"), F.max(y).alias("__y")).filter("y = __y").drop("__y")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # A preselection by id of twice as many: a bounded table, sent to all tasks; texts that are too long are few.
+    share = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
+    ids = known.filter(share < F.when(F.col("y") == 0, 2.0 * max_rows[0] / max(1, counts.get(0, 0))).otherwise(2.0 * max_rows[1] / max(1, counts.get(1, 0))))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes)
+    few = materialize(texts.join(F.broadcast(ids), "doc_id").distinct().withColumn("key", F.xxhash64("doc_id", "text")), "toxicity-sample")
     rows = []
     for label in (0, 1):
-        # A preselection by id of twice as many spares most of the join; texts that are too long are few.
-        share = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
-        ids = known.filter((F.col("y") == label) & (share < 2.0 * max_rows[label] / max(1, counts.get(label, 0)))).select("doc_id")
-        few = texts.join(ids, "doc_id").distinct().withColumn("key", F.xxhash64("doc_id", "text"))
-        rows += [(label, r["key"], r["text"].encode("utf-8", "surrogatepass").lower()) for r in few.orderBy("key", "text").limit(max_rows[label]).collect()]
+        rows += [(label, r["key"], r["text"].encode("utf-8", "surrogatepass").lower()) for r in few.filter(F.col("y") == label).orderBy("key", "text").limit(max_rows[label]).collect()]
+    discard(few)
     return [(label, text) for label, _, text in sorted(rows, key=lambda r: r[1:])]
 
 
