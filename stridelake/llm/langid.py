@@ -136,7 +136,7 @@ def train_languages(docs: DataFrame, max_rows: int = 1500, max_bytes: int = 32 <
     Only rows that held_out() spares and that have a language and a letter are used; the sample of a language is the
     first of its different texts by a hash of id and text, so reruns agree and rows that repeat an id count like any
     other. A language's candidates are preselected by id, twice as many as needed, so no task ranks a whole language.
-    Texts become features in the tasks, and at most max_total features of 2 ** bits numbers reach the driver. None where there are no such rows, as in an empty table.
+    At most max_total texts reach the driver. None where there are no such rows, as in an empty table.
     """
     importable(docs.sparkSession)
     known = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text").between(1, max_bytes)))
@@ -151,17 +151,13 @@ def train_languages(docs: DataFrame, max_rows: int = 1500, max_bytes: int = 32 <
     number = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
     rows = few.withColumn("number", number).filter(F.col("number") <= max_rows).select("lang", "number", "text")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [ngram_features(t.as_py(), bits).tobytes() if has_letter(t.as_py()) else None for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["lang", "number", "x"])
-
-    got = rows.mapInArrow(run, "lang string, number int, x binary").filter("x IS NOT NULL").collect()
-    got = sorted((r["lang"], r["number"], bytes(r["x"])) for r in got)
+    got = sorted((r["lang"], r["number"], r["text"]) for r in rows.collect() if has_letter(r["text"]))
     if not got:
         return None
     names = np.array([lang for lang, _, _ in got])
-    x = np.array([np.frombuffer(d, np.float32) for _, _, d in got])
+    x = np.empty((len(got), 1 << bits), np.float32)
+    for k, (_, _, text) in enumerate(got):
+        x[k] = ngram_features(text, bits)
     families = np.array([family_of(n) for n in names])
     return LanguageModel(bits, Machines.fit(x, families), {f: Machines.fit(x[families == f], names[families == f]) for f in sorted(set(families.tolist()))})
 
