@@ -245,14 +245,15 @@ def extract(root: Element, templates: frozenset[bytes] | set[bytes] = frozenset(
         out += [*parts, " "]
         taken += lost
     if templates:
-        own, todo = {id(r) for r in roots if r is not root}, [(root, False)]
+        whole = roots == [root]
+        own, todo = {id(r) for r in roots if r is not root}, [(root, not whole)]
         while todo:  # beside the content roots, also below what rules drop
             node, dropped = todo.pop()
             for c in node.children:
                 if isinstance(c, str) or id(c) in own:
                     continue
                 below = dropped or is_boilerplate(c, False)
-                if c.digest in templates and (below or roots != [root]) and not _holds(c, own):
+                if c.digest in templates and below and not _holds(c, own):
                     taken += c.text_size
                 elif c.text_size:
                     todo.append((c, below))
