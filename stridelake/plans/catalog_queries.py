@@ -229,15 +229,16 @@ def array_last_negative_index(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.element_at("embedding", (at + 1).cast("int")).alias("last_value"))
 
 
-@query(f"SELECT event_id, embedding[(user_id % 64 + 1)::INT] AS value FROM events JOIN ({EMBEDDING_ITEMS}) e ON e.i = event_id % 100 WHERE event_id % 7 = 0")
+@query(f"SELECT event_id, embedding[(user_id % 64 + 1)::INT] AS value FROM events JOIN ({EMBEDDING_ITEMS}) e ON e.i = event_id % (SELECT count(*) FROM embeddings)")
 def gather_indices(spark, sf_dir):
-    points = _t(spark, sf_dir, "events").filter("event_id % 7 = 0").select("event_id", (F.col("event_id") % 100).alias("a"), (F.col("user_id") % 64 - 64).alias("b"))
-    return NDFrame.load(spark, _matrix(spark, sf_dir)).gather(points, "a", "b").select("event_id", "value")
+    array = NDFrame.load(spark, _matrix(spark, sf_dir))
+    points = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") % array.shape[0]).alias("a"), (F.col("user_id") % 64 - 64).alias("b"))
+    return array.gather(points, "a", "b").select("event_id", "value")
 
 
-@query(f"SELECT (i * 64 + k - 1)::BIGINT AS flat_index, CASE WHEN i = 3 AND k = 64 THEN 9.5::FLOAT ELSE v END AS value FROM (SELECT i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM ({EMBEDDING_ITEMS})) WHERE i < 10")
+@query(f"SELECT (i * 64 + k - 1)::BIGINT AS flat_index, CASE WHEN i = 3 AND k = 64 THEN 9.5::FLOAT ELSE v END AS value FROM (SELECT i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM ({EMBEDDING_ITEMS}))")
 def set_item(spark, sf_dir):
-    return NDFrame.load(spark, _matrix(spark, sf_dir)).set((3, -1), 9.5).limit_items(640)
+    return NDFrame.load(spark, _matrix(spark, sf_dir)).set((3, -1), 9.5).items
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 2 + 1) AS applied FROM embeddings")
