@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +27,10 @@ def bswap_binary(value: Column) -> Column:
 
 
 def _swapped(kind: str):
-    @F.pandas_udf("float" if kind == "f4" else "double")
-    def swap(x: pd.Series) -> pd.Series:
-        return pd.Series(np.ascontiguousarray(x.to_numpy(dtype=kind)).byteswap())
+    @F.arrow_udf("float" if kind == "f4" else "double")
+    def swap(x: pa.Array) -> pa.Array:
+        values = x.fill_null(0.0).to_numpy(zero_copy_only=False).astype(kind)
+        return pa.array(values.byteswap(), mask=x.is_null().to_numpy(zero_copy_only=False))  # a NaN stays a NaN
 
     return swap
 

@@ -72,3 +72,23 @@ def test_fixed_utf8_and_hexdump(spark):
     lines = spark.createDataFrame([(bytes(range(20, 40)),)], "b binary").select(text.hexdump_lines(F.col("b"))).first()[0]
     assert lines[0] == "00000000: 14 15 16 17 18 19 1a 1b 1c 1d 1e 1f 20 21 22 23  | ............ !\"#"
     assert lines[1] == "00000010: 24 25 26 27 " + " " * 36 + " | $%&'"
+
+
+def test_single_byte_swaps_keep_nan_and_null(spark):
+    import random
+    import struct
+
+    from stridelake.functions import bits
+
+    rng = random.Random(1)
+    wanted = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(200)] + [struct.unpack(">d", struct.pack("<d", float("nan")))[0], 1.0000000000141254, None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(wanted)], "k int, v double")
+    got = {r.k: r.s for r in df.select("k", bits.bswap_double(df["v"]).alias("s")).collect()}
+    for k, v in enumerate(wanted):
+        if v is None:
+            assert got[k] is None
+        elif v == v:
+            want = struct.unpack(">d", struct.pack("<d", v))[0]
+            assert got[k] == want or (want != want and got[k] != got[k])
+        else:
+            assert got[k] is not None
