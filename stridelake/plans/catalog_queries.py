@@ -213,6 +213,12 @@ def npz_catalog(spark, sf_dir):
 # Aggregates, points and elements
 
 
+@query(f"SELECT (i * 64 + k - 1)::BIGINT AS flat_index, v AS value FROM (SELECT i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM ({EMBEDDING_ITEMS}))")
+def matrix_from_rows(spark, sf_dir):
+    rows = dense_index(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", name="i")
+    return NDFrame.from_rows(rows, "i", "embedding", 64, rows.count()).items
+
+
 @query("SELECT vec_id, list_max(embedding) AS max_value FROM embeddings")
 def array_max(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.array_max("embedding").alias("max_value"))
@@ -256,6 +262,34 @@ def apply_byteswap_twice(spark, sf_dir):
     return _orders(spark, sf_dir).apply(bits.bswap_double).apply(bits.bswap_double).items
 
 
+SWAPPED_BYTES = "SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS flat_index, hex((o_totalprice / 7)::DOUBLE::BIT::BLOB) AS bytes FROM orders"
+
+
+def _sevenths(spark, sf_dir) -> NDFrame:
+    """Doubles whose bytes are of all kinds: swapped, some are NaN or denormal."""
+    return NDFrame.load(spark, _column(spark, sf_dir, "orders", ["o_orderkey"], F.col("o_totalprice") / 7))
+
+
+@query(SWAPPED_BYTES)
+def apply_byteswap_once(spark, sf_dir):
+    swapped = _sevenths(spark, sf_dir).apply(bits.bswap_double).save(f"{work_dir(spark)}/swapped.npy")
+    return read_npy(spark, swapped, "raw").select("flat_index", F.hex("value").alias("bytes"))
+
+
+@query(SWAPPED_BYTES)
+def apply_blocks_byteswap(spark, sf_dir):
+    swapped = _sevenths(spark, sf_dir).apply_blocks(lambda x: x.byteswap(), f"{work_dir(spark)}/swapped.npy")
+    return read_npy(spark, swapped.path, "raw").select("flat_index", F.hex("value").alias("bytes"))
+
+
+@query("SELECT (SELECT max(list_max(embedding))::DOUBLE FROM embeddings) AS of_file, (SELECT max(list_max(embedding))::DOUBLE * 2 FROM embeddings) AS of_items, (SELECT sum(c_nationkey)::BIGINT FROM customer) AS total")
+def frame_max_sum(spark, sf_dir):
+    matrix = NDFrame.load(spark, _matrix(spark, sf_dir))
+    keys = NDFrame.load(spark, _column(spark, sf_dir, "customer", ["c_custkey"], F.col("c_nationkey")))
+    row = (matrix.max(), matrix.apply(lambda v: v.cast("double") * 2).max(), keys.sum())
+    return spark.createDataFrame([row], "of_file double, of_items double, total long")
+
+
 @query(f"SELECT embedding[6]::DOUBLE * 10 AS value FROM ({EMBEDDING_ITEMS}) WHERE i = 2")
 def transform_one(spark, sf_dir):
     return NDFrame.load(spark, _matrix(spark, sf_dir)).transform(lambda v: v.cast("double") * 10, 2, 5)
@@ -454,7 +488,16 @@ def byte_order_names(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select("n_nationkey", text.byte_order_name(chars).alias("name"))
 
 
-@query()
+# Names and numbers that callers test for.
+@query("""SELECT code, name FROM (VALUES
+  (0, 'none'),
+  (101, 'wrong_filetype'), (102, 'file_not_found'), (103, 'file_exists'), (104, 'file_open_failed'), (105, 'file_truncated'), (106, 'file_write_failed'), (107, 'file_read_failed'), (108, 'file_close'), (109, 'unsupported_file_format'), (110, 'duplicate_array_name'),
+  (201, 'magic_string_invalid'), (202, 'version_not_supported'), (203, 'header_invalid_length'), (204, 'header_truncated'), (205, 'header_parsing_error'), (206, 'header_invalid'), (207, 'header_empty'),
+  (301, 'descr_invalid'), (302, 'descr_invalid_type'), (303, 'descr_invalid_string'), (304, 'descr_invalid_data_size'), (305, 'descr_list_empty'), (306, 'descr_list_invalid_type'), (307, 'descr_list_incomplete_value'), (308, 'descr_list_invalid_value'), (309, 'descr_list_invalid_shape'), (310, 'descr_list_invalid_shape_value'), (311, 'descr_list_subtype_not_supported'),
+  (401, 'fortran_order_invalid_value'), (402, 'shape_invalid_value'), (403, 'shape_invalid_shape_value'), (404, 'item_size_mismatch'), (405, 'data_size_mismatch'), (406, 'unavailable'),
+  (501, 'mmap_failed'), (502, 'seek_failed'), (503, 'reader_not_open'), (504, 'invalid_item_offset'), (505, 'invalid_data_pointer'), (506, 'munmap_failed'),
+  (601, 'invalid_value'), (602, 'index_out_of_bounds'), (603, 'index_shape_mismatch'), (604, 'size_overflow')
+) AS fixed (code, name)""")
 def error_codes(spark, sf_dir):
     return spark.createDataFrame([(int(e), e.name) for e in Errors], "code int, name string")
 
