@@ -258,7 +258,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("class").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "class")
     info = classes.drop("vector").join(links, "class", "left").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    info = info.join(info.groupBy("root").agg(F.min("least_id").alias("component_id")), "root")
+    info = materialize(info, "vector-roots")
+    # Written, so that both sides of the join by root are shuffled for it alone and Spark can split a large component.
+    groups = materialize(info.groupBy("root").agg(F.min("least_id").alias("component_id")), "vector-groups")
+    info = info.join(groups, "root")
     info = info.select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "class").join(info, "class", "left")
     own = F.col("class").isNull()
