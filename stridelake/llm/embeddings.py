@@ -156,7 +156,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 def compare_units(units: DataFrame, cosine: float, sigmas: float) -> DataFrame:
     """(class, links, other) from units, rows (table, key, i, j, block, class, copies, keys, code, factor, vector)
-    sorted by the first four, which name the unit, and by class.
+    sorted by the first four, which name the unit, and by class; keys are those of the tables before.
 
     A unit holds one or two blocks of a bucket. For every class, links is the number of vectors of other classes
     that it links with in this unit and with which it shares no key of an earlier table, so that each pair counts
@@ -252,6 +252,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float
     full = met.join(classes.select("class", "copies", "vector").join(keyed, "class"), "class")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(classes.count() * tables / 20_000))
     unit = ["table", "key", "i", "j"]
+    full = full.withColumn("keys", F.slice("keys", F.lit(1), F.col("table")))  # those of earlier tables tell which pairs are new
     units = full.repartition(parts, *unit).sortWithinPartitions(*unit, "class")
     found = materialize(compare_units(units.select(*unit, "block", "class", "copies", "keys", "code", "factor", "vector"), cosine, sigmas), "vector-links")
 
