@@ -48,8 +48,9 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    bands = quality.fit_bands(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, bands, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "whole_ratio", "chunk_ratio_min", "chunk_ratio_max")
+    measured = materialize(quality.measure(docs, carry=["doc_id"]), "quality-measured")
+    bands = quality.fit_measured(measured, table(spark, sf_dir, "labels"))
+    return quality.judge(measured, bands).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "whole_ratio", "chunk_ratio_min", "chunk_ratio_max")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

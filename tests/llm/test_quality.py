@@ -158,3 +158,27 @@ def test_fitted_bands_reject_repetitive_and_random_texts(spark):
     assert quality.fit_bands(docs, labels.limit(0)) == quality.fit_bands(docs.limit(0), labels) == quality.Bands()
     odd = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
     assert quality.fit_bands(docs, odd) == quality.Bands()
+
+
+def test_bands_come_from_every_clean_row(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 12))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words[: rng.choice((40, 300, 3000))], k=rng.randint(55, 90))) for _ in range(12_000)] + [" ".join(rng.choices(words, k=rng.randint(700, 3000))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[9]), (None, texts[1])], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, 1) for k in range(len(texts))] + [(5, 0), (None, 1)], "doc_id long, quality int")
+    judge, rows = quality.BandJudge(quality.Bands()), []
+    for k, text in [*enumerate(texts), (3, texts[9])]:
+        counts = quality.base_counts(text.encode(), len(text))
+        if k != 5 and zlib.crc32(str(k).encode()) % 5 and not quality.base_fails(counts[0], counts[4]):
+            whole, chunks = judge.ratios(text.encode())
+            rows.append((len(text), whole, min(chunks), max(chunks)))
+    assert len(rows) > 9000
+    bands = quality.fit_bands(docs, labels)
+    whole, chunk = plain_limits(rows)
+    assert np.allclose(bands.whole, whole, rtol=1e-14, atol=0) and np.allclose(bands.chunk, chunk, rtol=1e-14, atol=0)
+    measured = quality.measure(docs)
+    assert quality.fit_measured(measured, labels) == bands
+    scored = quality.score_quality(docs, bands)
+    judged = quality.judge(measured, bands)
+    assert judged.columns == scored.columns and judged.exceptAll(scored).count() == scored.exceptAll(judged).count() == 0
+    assert {r.kept for r in judged.collect()} == {True, False}
