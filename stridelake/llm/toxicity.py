@@ -193,28 +193,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarra
     return mean, scale, w
 
 
-def _feature_rows(docs: DataFrame, carry: list[str], text_col: str, dictionaries: tuple[bytes, bytes], model: ToxicityModel | None) -> DataFrame:
-    """carry, and as x the features as a list or (with a model) the score."""
-    docs, at, ddl = arrow_input(docs, carry, text_col)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(dictionaries)
-        for batch in batches:
-            x = distances.features(text_bytes(batch.column(at)))
-            if model is None:
-                made = pa.array(list(x), pa.list_(pa.float64()))
-            else:
-                made = pa.array(model.score(x) if len(x) else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], made], names=[*carry, "x"])
-
-    return docs.mapInArrow(run, ddl + (", x array<double>" if model is None else ", x double"))
-
-
-def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int], max_bytes: int) -> list[tuple[int, bytes]]:
-    """(label, text with A-Z in lower case): at most max_rows rows of each label, the first by a hash of id and text.
+def learning_sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int], max_bytes: int) -> tuple[DataFrame, list[np.ndarray]]:
+    """A table (y, key, text) of at most max_rows rows of each label, the first by key, a hash of id and text; and the
+    keys of each label in order.
 
     Ids whose labels differ are not used. Rows that repeat an id count as rows, and equal rows once, so max_rows *
-    max_bytes bounds what reaches the driver. The rows and their order are the same in every run.
+    max_bytes bounds the sample. The rows are the same in every run.
     """
     y = F.col("toxic").cast("int")
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -224,43 +208,93 @@ def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int],
     share = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
     ids = known.filter(share < F.when(F.col("y") == 0, 2.0 * max_rows[0] / max(1, counts.get(0, 0))).otherwise(2.0 * max_rows[1] / max(1, counts.get(1, 0))))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes)
-    few = materialize(texts.join(F.broadcast(ids), "doc_id").distinct().withColumn("key", F.xxhash64("doc_id", "text")), "toxicity-sample")
-    rows = []
-    for label in (0, 1):
-        rows += [(label, r["key"], r["text"].encode("utf-8", "surrogatepass").lower()) for r in few.filter(F.col("y") == label).orderBy("key", "text").limit(max_rows[label]).collect()]
-    discard(few)
-    return [(label, text) for label, _, text in sorted(rows, key=lambda r: r[1:])]
+    few = materialize(texts.join(F.broadcast(ids), "doc_id").distinct().select("y", F.xxhash64("doc_id", "text").alias("key"), "text"), "toxicity-sample")
+    found = few.select("y", "key").collect()
+    keys = [np.sort(np.array([r["key"] for r in found if r["y"] == label], np.int64))[:n] for label, n in enumerate(max_rows)]
+    last = [F.lit(int(k[-1]) if len(k) else None).cast("long") for k in keys]
+    sample = few.filter(F.col("key") <= F.when(F.col("y") == 0, last[0]).otherwise(last[1]))
+    sample.shared_path = few.shared_path
+    return sample, keys
+
+
+def _sample_rows(sample: DataFrame) -> list[tuple[int, bytes]]:
+    """(label, text with A-Z in lower case) by key. A sixteenth of the texts is in the driver's JVM at a time."""
+    rows = sample.select("y", "key", F.col("text").cast("binary").alias("text")).coalesce(16).toLocalIterator()
+    return [(label, text) for _, text, label in sorted((r["key"], bytes(r["text"]).lower(), r["y"]) for r in rows)]
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int], max_bytes: int) -> list[tuple[int, bytes]]:
+    """learning_sample() as (label, text with A-Z in lower case), in the same order in every run."""
+    sample, _ = learning_sample(docs, labels, max_rows, max_bytes)
+    rows = _sample_rows(sample)
+    discard(sample)
+    return rows
+
+
+def _sample_features(sample: DataFrame, keys: list[np.ndarray], whole: tuple[bytes, bytes], apart: list[tuple[bytes, bytes] | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all of the sample under the dictionaries of whole, and of each part (by the rank of the
+    key within its label) under those of apart; without any, the part is left out. The tasks read the texts from the
+    sample's table; the driver sends dictionaries only."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full, others = Distances(whole), [made and Distances(made) for made in apart]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, key, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), list(text_bytes(batch.column(2)))
+            part = np.where(y == 0, *(np.searchsorted(k, key) for k in keys)) % len(others)
+            labels, x = [y], [full.features(texts)]
+            for k, distances in enumerate(others):
+                own = np.flatnonzero(part == k)
+                if distances and len(own):
+                    labels.append(y[own])
+                    x.append(distances.features(texts[i] for i in own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(labels), pa.int32()), pa.array(list(np.concatenate(x)), pa.list_(pa.float64()))], names=["y", "x"])
+
+    rows = sample.select("y", "key", "text").mapInArrow(run, "y int, x array<double>").toArrow()
+    return rows["x"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1), rows["y"].to_numpy().astype(float)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = (9000, 4000), max_bytes: int = 32 << 10, folds: int = 3) -> ToxicityModel | None:
     """Fit on a bounded sample: at most max_rows labelled documents of each label (0, 1), each of at most max_bytes.
 
-    Only rows that held_out() spares are used; see learning_rows(). The dictionaries come from the whole sample. The
+    Only rows that held_out() spares are used; see learning_sample(). The dictionaries come from the whole sample. The
     thresholds are fitted to its distances under them and, as much, to those of each part of the sample under
     dictionaries that the other parts give, which no text of the part was trained into. None where a label is missing, as in
     empty tables.
     """
     importable(docs.sparkSession)
-    spark, rows = docs.sparkSession, learning_rows(docs, labels, max_rows, max_bytes)
+    sample, keys = learning_sample(docs, labels, max_rows, max_bytes)
+    rows = _sample_rows(sample)
     texts = [[t for y, t in rows if y == label] for label in (0, 1)]
+    del rows
     if not all(texts):
+        discard(sample)
         return None
-    del rows
     dictionaries = train_dictionaries(texts[1], texts[0])
-    rounds = [([ts[k::folds] for ts in texts], [[t for i, t in enumerate(ts) if i % folds != k] for ts in texts]) for k in range(folds)]
-    rounds = [(part, train_dictionaries(others[1], others[0])) for part, others in rounds if all(others)]
-    x, y = [], []
-    for part, made in [*rounds, (texts, dictionaries)]:
-        rows = [(label, t.decode("utf-8", "surrogatepass")) for label in (0, 1) for t in part[label]]
-        df = spark.createDataFrame(rows, "y int, text string").repartition(max(2, min(64, len(rows) // 100)))
-        for r in _feature_rows(df, ["y"], "text", made, None).collect():
-            x.append(r["x"])
-            y.append(r["y"])
-    x, y = np.array(x), np.array(y, float)
+    others = [[[t for i, t in enumerate(ts) if i % folds != k] for ts in texts] for k in range(folds)]
+    apart = [train_dictionaries(toxic, ordinary) if toxic and ordinary else None for ordinary, toxic in others]
+    del texts, others
+    x, y = _sample_features(sample, keys, dictionaries, apart)
+    discard(sample)
     order = np.lexsort((*x.T, y))  # as the rows' order differs from run to run, and sums with it
     return ToxicityModel(dictionaries, *_calibrate(x[order], y[order]))
 
 
+def _scores(docs: DataFrame, carry: list[str], text_col: str, model: ToxicityModel) -> DataFrame:
+    """carry, and the score."""
+    docs, at, ddl = arrow_input(docs, carry, text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = Distances(model.dictionaries)
+        for batch in batches:
+            x = distances.features(text_bytes(batch.column(at)))
+            made = pa.array(model.score(x) if len(x) else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], made], names=[*carry, "score"])
+
+    return docs.mapInArrow(run, f"{ddl}, score double")
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns carry of docs (None: all) with score (0 to 1) and predicted (score >= 0.5) for every whole text.
 
@@ -273,5 +307,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str =
     if model is None:
         out = docs.select(*carry, F.lit(0.0).alias("score"))
     else:
-        out = _feature_rows(docs, carry, text_col, model.dictionaries, model).withColumnRenamed("x", "score")
+        out = _scores(docs, carry, text_col, model)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -184,6 +184,31 @@ def test_learning_rows_are_bounded_and_the_same_in_every_run(spark):
     assert len(every) == len(set(every))
 
 
+def test_training_sends_no_texts_from_the_driver(spark, monkeypatch):
+    docs, labels = small_corpus(900)
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.learning_rows(df, lab, (300, 90), 1000)
+
+    def refuse(*_, **__):
+        raise AssertionError("rows of the driver as a table")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    model = toxicity.train_toxicity(df, lab, (300, 90), 1000)
+    ordinary, toxic = ([t for y, t in rows if y == label] for label in (0, 1))
+    assert len(ordinary) == 300 and len(toxic) == 90
+    x, y = [], []
+    for k in (0, 1, 2, None):
+        own, others = ([[t for i, t in enumerate(ts) if k is None or (i % 3 == k) == mine] for ts in (ordinary, toxic)] for mine in (True, False))
+        made = toxicity.train_dictionaries(*(others if k is not None else own)[::-1])
+        x += list(toxicity.Distances(made).features(own[0] + own[1]))
+        y += [0.0] * len(own[0]) + [1.0] * len(own[1])
+    assert model.dictionaries == made
+    x, y = np.array(x), np.array(y)
+    order = np.lexsort((*x.T, y))
+    for got, want in zip((model.mean, model.scale, model.weights), toxicity._calibrate(x[order], y[order])):
+        assert np.array_equal(got, want)
+
+
 def test_windows_cover_the_text():
     text = "a bb\n ccc\t" * 500 + "x" * 1000
     assert b" ".join(toxicity.windows(text.encode(), 64)).split() == text.encode().split()
