@@ -28,33 +28,29 @@ def ucs4_bytesize(text: Column, size: int | None = None) -> Column:
 def ucs4_bytes(text: Column, big_endian: bool = False) -> Column:
     """The string as 4-byte code points."""
     if big_endian:
-        return F.unhex(F.array_join(F.transform(to_ucs4(text), lambda c: F.lpad(F.hex(c), 8, "0")), ""))
-    swapped = lambda c: F.regexp_replace(F.lpad(F.hex(c), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1")
-    return F.unhex(F.array_join(F.transform(to_ucs4(text), swapped), ""))
+        return F.encode(text, "UTF-32")
+    # The bytes of the reversed string, backwards: as characters, one for each byte.
+    return _bytes(F.reverse(_chars(F.encode(F.reverse(text), "UTF-32"))))
 
 
 def from_ucs4_bytes(raw: Column, big_endian: bool = False) -> Column:
-    """The string of 4-byte code points, up to the first NUL; code points beyond U+10FFFF are left out."""
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(raw) / 4).cast("int") - 1, F.lit(0))), lambda k: F.hex(F.substring(raw, k * 4 + 1, F.lit(4))))
-    ordered = pairs if big_endian else F.transform(pairs, lambda h: F.regexp_replace(h, "(..)(..)(..)(..)", "$4$3$2$1"))
-    points = F.transform(F.filter(ordered, lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("long"))
-    nul = F.array_position(points, F.lit(0).cast("long"))
-    kept = F.filter(F.when(nul > 0, F.slice(points, F.lit(1), (nul - 1).cast("int"))).otherwise(points), lambda c: c <= 0x10FFFF)
-    return F.decode(F.unhex(F.array_join(F.transform(kept, _utf8_hex), "")), "UTF-8")
-
-
-def _utf8_hex(c: Column) -> Column:
-    """UTF-8 of a code point in hex digits."""
-
-    def byte(lead: int, shift: int, mask: int) -> Column:
-        return F.lpad(F.hex(F.shiftright(c, shift).bitwiseAND(F.lit(mask).cast("long")).bitwiseOR(F.lit(lead).cast("long"))), 2, "0")
-
-    return (
-        F.when(c < 0x80, byte(0, 0, 0x7F))
-        .when(c < 0x800, F.concat(byte(0xC0, 6, 0x1F), byte(0x80, 0, 0x3F)))
-        .when(c < 0x10000, F.concat(byte(0xE0, 12, 0x0F), byte(0x80, 6, 0x3F), byte(0x80, 0, 0x3F)))
-        .otherwise(F.concat(byte(0xF0, 18, 0x07), byte(0x80, 12, 0x3F), byte(0x80, 6, 0x3F), byte(0x80, 0, 0x3F)))
-    )
+    """The string of 4-byte code points, up to the first NUL; code points beyond U+10FFFF and a last part of under 4 bytes are left out, surrogates an error."""
+    kept = F.regexp_extract(_chars(raw), r"(?s)^(?:(?!\x00{4}).{4})*+", 0)
+    points = kept if big_endian else F.reverse(kept)
+    # Of surrogates only the last two bytes stay, which no decoder takes; else it would join pairs and make others "?".
+    valid = F.regexp_replace(points, r"(?s)\x00\x00([\xD8-\xDF].)|(\x00[\x00-\x10]..)|....", "$1$2")
+    # The decoder drops one byte order mark, so that a text's own stays.
+    text = F.decode(_bytes(F.concat(F.lit("\x00\x00\xfe\xff"), valid)), "UTF-32")
+    return text if big_endian else F.reverse(text)
+
+
+def _chars(raw: Column) -> Column:
+    """A character for each byte."""
+    return F.decode(raw, "ISO-8859-1")
+
+
+def _bytes(chars: Column) -> Column:
+    return F.encode(chars, "ISO-8859-1")
 
 
 def to_utf8(text: Column, size: int | None = None, on_error: str = "raise") -> Column:

@@ -64,6 +64,30 @@ def test_code_points(spark):
     assert raw.select(text.from_ucs4_bytes(F.col("b")).alias("t")).first().t == "A"
 
 
+def test_ucs4_bytes_of_odd_texts_and_units(spark):
+    texts = ["\ufeffa", "\ufffe\r\n\u2028", "".join(map(chr, range(1, 0x3000))), "".join(map(chr, range(0x10FF00, 0x110000)))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.ucs4_bytes(F.col("t")).alias("le"), text.ucs4_bytes(F.col("t"), True).alias("be"))
+    for r in df.select("*", text.from_ucs4_bytes(F.col("le")).alias("x"), text.from_ucs4_bytes(F.col("be"), True).alias("y")).collect():
+        assert r.le == r.t.encode("utf-32-le") and r.be == r.t.encode("utf-32-be") and r.x == r.y == r.t
+    units = {b"A": "", b"A\0\0\0BC": "A", np.array([0x110000, 65, 0x80000042, 66], "<u4").tobytes(): "AB", np.array([0x100, 0x10000, 0, 65], "<u4").tobytes(): "\u0100\U00010000", b"": "", None: None}
+    raw = spark.createDataFrame([(u,) for u in units], "b binary")
+    assert [r.t for r in raw.select(text.from_ucs4_bytes(F.col("b")).alias("t")).collect()] == list(units.values())
+    for pair in ([0xD800], [65, 0xD83D, 0xDE42]):
+        raw = spark.createDataFrame([(np.array(pair, "<u4").tobytes(), np.array(pair, ">u4").tobytes())], "le binary, be binary")
+        for points in (text.from_ucs4_bytes(F.col("le")), text.from_ucs4_bytes(F.col("be"), True)):
+            with pytest.raises(Exception, match="MALFORMED_CHARACTER_CODING"):
+                raw.select(points).collect()
+
+
+def test_ucs4_round_trip_takes_time_in_proportion_to_the_text(spark):
+    import time
+
+    df = spark.range(1).select(F.repeat(F.lit("añ🙂x"), 1000).alias("t"))
+    began = time.monotonic()
+    assert df.select(text.from_ucs4_bytes(text.ucs4_bytes(F.col("t"))) == F.col("t")).first()[0]
+    assert time.monotonic() - began < 15  # by the square of the length: about a minute
+
+
 def test_fixed_utf8_and_hexdump(spark):
     df = spark.createDataFrame([("añ",)], "t string")
     assert bytes(df.select(text.to_utf8(F.col("t"), 5)).first()[0]) == "añ".encode() + b"\0\0"
